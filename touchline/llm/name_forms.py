@@ -32,6 +32,7 @@ SOUNDS = [("sch", "s"), ("ch", "c"), ("sh", "s"), ("zh", "z"), ("gh", "g"), ("kh
 
 _JUNK = re.compile(r"\([^)]*\)|\[[^\]]*\]|#\s*\d+|\*+|\bU\d\d\b")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-ZÀ-ÖØ-ÞČŠŽŞİĞ][^\W\d_])")
+_HYPHEN = re.compile(r"(?<=\w)[\-‐-―](?=\w)")
 _SPLIT = re.compile(r"[\s\-‐-―.'’`,/]+")
 
 
@@ -70,6 +71,8 @@ def parse(name: str | None) -> list[str]:
     if comma and loose(ascii_fold(tail).strip(" .")) not in SUFFIXES and tail.strip():
         text = f"{tail} {head}"
     text = _CAMEL.sub(" ", text)
+    if len(text.split()) > 1:  # 'Given-Second Family': hyphens join parts of one name, alone they stand for lost spaces
+        text = _HYPHEN.sub("", text)
     words = [re.sub(r"[^a-z0-9]", "", w) or w for w in map(ascii_fold, _words(text))]
     words = [w for w in words if w not in SUFFIXES]
     kept = [w for w in words if w not in PARTICLES] or words
