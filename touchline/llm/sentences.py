@@ -186,7 +186,7 @@ def places(text: str, a: int, b: int) -> list[Place]:
             if not (_THAI.match(prev) or _THAI.match(nxt)) or inside(i):
                 continue
             before = _token_before(text, a, i)
-            if nxt == "ๆ" or nxt.isdigit() or before.endswith(".") or nxt in "“\"(":
+            if nxt == "ๆ" or nxt.isdigit() or text.startswith(("พ.ศ", "ค.ศ"), e) or before.endswith(".") or nxt in "“\"(":
                 rule = SURE_NO
             elif prev == "ๆ" or prev.isdigit() or prev in _CLOSERS or prev.isascii():
                 rule = UNSURE if prev not in "”" else SURE_YES
@@ -275,6 +275,8 @@ def _rule(text: str, a: int, b: int, run: str, word: str, closed: str, gap: str,
         return SURE_NO
     if re.fullmatch(r"\d{1,3}", bare) and following in AFTER_ORDINAL:
         return SURE_NO
+    if re.fullmatch(r"\d{4}", bare) and re.match(r"\d{1,2}\.", rest) or re.fullmatch(r"\d{1,2}", bare) and re.search(r"\d{4}\.\s*\d{1,2}\.\s*$", text[max(a, g - 12) : g]):
+        return SURE_NO  # a date written year, month, day
     if not gap:
         if "." in word or kind in "dp" or re.match(r"[\w-]*\.\w", rest):  # addresses, versions, stops inside an abbreviation
             return SURE_NO
