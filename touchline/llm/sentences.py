@@ -275,7 +275,7 @@ def _rule(text: str, a: int, b: int, run: str, word: str, closed: str, gap: str,
         return SURE_NO
     if re.fullmatch(r"\d{1,3}", bare) and following in AFTER_ORDINAL:
         return SURE_NO
-    if re.fullmatch(r"\d{4}", bare) and re.match(r"\d{1,2}\.", rest) or re.fullmatch(r"\d{1,2}", bare) and re.search(r"\d{4}\.\s*\d{1,2}\.\s*$", text[max(a, g - 12) : g]):
+    if re.fullmatch(r"\d{4}", bare) and re.match(r"\d{1,2}\.", rest) or re.fullmatch(r"\d{1,2}", bare) and re.search(r"\d{4}\.\s*(?:\d{1,2}\.\s*){1,2}$", text[max(a, g - 16) : g]):
         return SURE_NO  # a date written year, month, day
     if not gap:
         if "." in word or kind in "dp" or re.match(r"[\w-]*\.\w", rest):  # addresses, versions, stops inside an abbreviation
