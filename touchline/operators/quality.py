@@ -189,7 +189,7 @@ def findings(counts: DataFrame, rules: Sequence[ColumnRule], t: Thresholds = Thr
     grid = grid.withColumn("base", _middle(F.col("share"), byv))
     q = F.least(F.greatest(F.col("base"), F.lit(0.005)), F.lit(0.995))
     moved = F.col("ordinary") & (F.abs(F.col("share") - F.col("base")) > t.share_shift) & (F.abs(F.col("share") - q) / F.sqrt(q * (1 - q) / F.col("mo")) > t.z)
-    fresh = ~F.col("ordinary") & (F.col("k") > 0) & (F.col("share") >= t.new_value_share)
+    fresh = ~F.col("ordinary") & (F.col("mo") > 0) & (F.col("n_loads") >= 3) & (F.col("k") > 0) & (F.col("share") >= t.new_value_share)
     gone = F.col("ordinary") & (F.col("k") == 0) & (F.col("base") * F.col("mo") > t.z * t.z)
     tests = F.array(F.when(F.coalesce(moved, F.lit(False)), F.lit("distribution")), F.when(F.coalesce(fresh | gone, F.lit(False)), F.lit("distinct")))
     categorical = grid.select(*PROFILE_KEYS, F.explode(F.array_compact(tests)).alias("finding"))
