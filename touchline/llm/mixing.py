@@ -101,7 +101,7 @@ def plan(patterns: dict[tuple[str, ...], float], targets: Sequence[Target]) -> t
     low = 0.0
     for _ in range(50):
         mid = (low + high) / 2
-        if solve(mid)[0] >= weight * mid * (1 - 1e-9) - 1e-3:
+        if solve(mid)[0] >= weight * mid * (1 - 1e-9):
             low = mid
         else:
             high = mid

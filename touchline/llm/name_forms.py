@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -58,8 +58,13 @@ def _words(text: str) -> list[str]:
     return [w for w in _SPLIT.split(text) if w]
 
 
-def parse(name: str | None) -> list[str]:
-    """Loose tokens, given name first; particles, legal forms and marks left out. Nothing for null or blank names.
+def squeezed(token: str) -> str:
+    """Doubled letters count once."""
+    return re.sub(r"(.)\1+", r"\1", token)
+
+
+def parse(name: str | None, spell: Callable[[str], str] = loose) -> list[str]:
+    """Tokens, spelled loosely, given name first; particles, legal forms and marks left out. Nothing for null or blank names.
 
     'Family, Given' is turned round, 'GivenFamily' and 'Given-Family' are split. Where only particles are left
     they are kept, so that a name never vanishes for its form.
@@ -76,7 +81,7 @@ def parse(name: str | None) -> list[str]:
     words = [re.sub(r"[^a-z0-9]", "", w) or w for w in map(ascii_fold, _words(text))]
     words = [w for w in words if w not in SUFFIXES]
     kept = [w for w in words if w not in PARTICLES] or words
-    tokens = [t for t in map(loose, kept) if t]
+    tokens = [t for t in map(spell, kept) if t]
     if len(tokens) > 1 and len(tokens[-1]) == 1 and len(tokens[0]) > 1:  # 'Family G.'
         tokens = tokens[-1:] + tokens[:-1]
     return tokens
@@ -113,12 +118,21 @@ def forms(tokens: list[str], years: Iterable[int], rotate: bool) -> list[str]:
     return list(out)
 
 
+def rewritings(name: str | None, years: Iterable[int], rotate: bool) -> list[str]:
+    """Every rewriting of a name: of its loose spelling, and of its letters as they are where these differ, for a
+    typing error may make or break a pair of letters that counts as one sound."""
+    years = list(years)
+    sound, letters = parse(name), parse(name, squeezed)
+    out = forms(sound, years, rotate)
+    return out if letters == sound else list(dict.fromkeys(out + forms(letters, years, rotate)))
+
+
 def forms_column(name: Column, years: Column, rotate: bool) -> Column:
     """array<string> of the rewritings of a name given an array<int> of years of birth (both may be null)."""
 
     @F.pandas_udf("array<string>")
     def run(n: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([forms(parse(a), [int(v) for v in b] if b is not None else [], rotate) for a, b in zip(n, y)], dtype=object)
+        return pd.Series([rewritings(a, [int(v) for v in b] if b is not None else [], rotate) for a, b in zip(n, y)], dtype=object)
 
     return run(name, F.coalesce(years, F.array().cast("array<int>")))
 

@@ -60,7 +60,10 @@ class _Sizes:
             if a + b > limit:
                 hi -= 1
                 continue
-            enough = self.n[b] - (b == without) >= (2 if a == b else 1) and self.n[a] - (a == without) >= 1
+            if self.n[a] == (a == without):  # its only item is the one set aside
+                hi -= 1
+                continue
+            enough = self.n[b] - (b == without) >= (2 if a == b else 1)
             if enough and (best is None or a + b > sum(best)):
                 best = (a, b)
             lo += 1
