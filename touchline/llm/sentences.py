@@ -208,11 +208,12 @@ def places(text: str, a: int, b: int) -> list[Place]:
             continue
         j = e
         closed = ""
-        while True:  # closing quotes and brackets, also behind a no-break space
+        while True:  # closing quotes and brackets, behind a space only where they close what is open
             q = j
-            while q < b and text[q] in "  ":
+            while q < b and text[q] in " \u00a0\u202f":
                 q += 1
-            if q < b and (text[q] in _CLOSERS or (text[q] == "“" and any(s[0] < q and s[1] == q + 1 for s in nest))):
+            ends = q < b and any(x[0] < i and x[1] == q + 1 for x in nest)  # the quotation that is open here
+            if q < b and (ends or q == j and text[q] in _CLOSERS):
                 closed += text[q]
                 j = q + 1
                 while j < b and text[j] in "!?…。！？.؟":
