@@ -137,10 +137,6 @@ def forms_column(name: Column, years: Column, rotate: bool) -> Column:
     return run(name, F.coalesce(years, F.array().cast("array<int>")))
 
 
-def rule_of(form: Column) -> Column:
-    return F.substring(form, 1, 1)
-
-
 def _near(a: str, b: str) -> float:
     """1 for equal tokens, less by edits, against the longer one's length."""
     if a == b:

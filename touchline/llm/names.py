@@ -10,21 +10,22 @@ from touchline.plans.lineage import cut
 
 
 def exploded_forms(df: DataFrame, key: str, name: str, years: str, rotate: bool) -> DataFrame:
-    """(key, h, rule) for every distinct rewriting of a key's names; h is the rewriting's 64-bit hash."""
+    """(key, h) for every distinct rewriting of a key's names; h is the rewriting's 64-bit hash."""
     f = df.select(key, F.explode(N.forms_column(F.col(name), F.col(years), rotate)).alias("f"))
-    return f.select(key, F.xxhash64("f").alias("h"), N.rule_of(F.col("f")).alias("rule")).distinct()
+    return f.select(key, F.xxhash64("f").alias("h")).distinct()
 
 
 def rewriting_pairs(left_forms: DataFrame, right_forms: DataFrame, left_key: str, right_key: str, n_right: int) -> DataFrame:
     """(left_key, right_key, rarity, owners, shared): pairs that share a rewriting.
 
     owners: right entities that have the rarest rewriting shared; rarity: log2(all right entities / owners). Rewritings are
-    counted before they are joined and only those both sides have are shuffled on.
+    counted before they are joined and only those both sides have are shuffled on. A name has some hundred
+    rewritings, which size estimates don't know: every join asks for a sort-merge, never a broadcast.
     """
-    wanted = left_forms.select("h").distinct()
+    wanted = left_forms.select("h").distinct().hint("merge")
     right = right_forms.join(wanted, "h", "left_semi")
     df = right.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    pairs = left_forms.join(df, "h").join(right.select("h", right_key), "h")
+    pairs = left_forms.join(df.hint("merge"), "h").join(right.select("h", right_key).hint("merge"), "h")
     bits = F.log2(F.lit(float(max(n_right, 1))) / F.col("df"))
     return pairs.groupBy(left_key, right_key).agg(F.max(bits).alias("rarity"), F.min("df").alias("owners"), F.count(F.lit(1)).alias("shared"))
 
@@ -46,13 +47,13 @@ def link_names(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     """
     ls = left.select(left_key, "name", "years").distinct()
     rs = right.select(right_key, "name", "years").distinct()
-    lf = exploded_forms(ls, left_key, "name", "years", rotate=True)
+    lf = cut(exploded_forms(ls, left_key, "name", "years", rotate=True))
     rf = cut(exploded_forms(rs, right_key, "name", "years", rotate=False))
     n_right = rs.agg(F.count_distinct(right_key)).first()[0]
     pairs = rewriting_pairs(lf, rf, left_key, right_key, n_right)
     ln = ls.select(left_key, F.col("name").alias("left_name")).distinct()
     rn = rs.select(right_key, F.col("name").alias("right_name")).distinct()
-    spelled = pairs.join(ln, left_key).join(rn, right_key)
+    spelled = pairs.join(ln.hint("merge"), left_key).join(rn.hint("merge"), right_key)
     spelled = spelled.withColumn("c", N.compare_columns(F.col("left_name"), F.col("right_name")))
     total = F.greatest(F.col("c.given"), F.lit(0.3)) + F.col("c.family") + F.col("c.whole")
     best = F.max_by(F.struct("left_name", "right_name", "c"), F.struct(total, "left_name", "right_name")).alias("b")
