@@ -300,8 +300,8 @@ def test_fill_numeric_beats_the_mean_on_held_out_cells(spark):
     rows, truth = [], {}
     for i in range(1600):
         g, x, s = int(rng.integers(80)), float(rng.normal()), int(rng.integers(4))
-        y = 50 + 3 * x + effect[g] + s + float(rng.normal(0, 1))
-        hide = rng.random() < 0.2
+        y = float(50 + 3 * x + effect[g] + s + rng.normal(0, 1))
+        hide = bool(rng.random() < 0.2)
         truth[i] = (y, hide)
         rows.append((i, f"g{g}", s, x, -1.0 if hide and i % 2 else float("nan") if hide else y))
     df = spark.createDataFrame(rows, "row_id int, g string, s int, x double, y double")
