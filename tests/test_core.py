@@ -15,6 +15,7 @@ from touchline.functions.similarity import edits, indel_ratio, lcs_length, token
 from touchline.operators import impute as I
 from touchline.operators import joins, panel, quality, resolve, stats, windows
 from touchline.plans import features, models
+from touchline.queries import reference
 from touchline.sources import text_formats as TF
 
 
@@ -194,6 +195,23 @@ def test_resolver_cascade(spark):
     assert got == {1: (1, "exact"), 2: (3, "exact"), 3: (None, "unmatched"), 4: (5, "initials"), 5: (None, "unmatched"), 6: (1, "fuzzy"), 7: (4, "manual"), 8: (None, "unmatched"), 9: (None, "unmatched")}
 
 
+def test_resolver_query_reads_every_form_of_date_and_country(spark, tmp_path):
+    born = ["2002-02-18", "18.02.2002", "2002-02-18 00:00:00", "Mar 10, 2002", "Mar 1, 2002"]
+    land = ["Wadi Amr", "WADI AMR", "Île-Vervane", "Ile-Vervane", "ÎLE-VERVANE"]
+    names = ["Ada Bek", "Cem Dor", "Eli Fay", "Gus Hol", "Ivo Jun"]
+    code = {"w": "WAD", "i": "ILV", "î": "ILV"}
+    master = [(k, n, b, c, "Red") for k, (n, b, c) in enumerate(zip(names, born, land))]
+    # a namesake of another year, and one player by initials only, in a block of a year and nation
+    master += [(10, "Cem Dor", "18.02.1990", "WADI AMR", "Red"), (11, "Nia Oz", "05.06.1999", "WADI AMR", None)]
+    rows = [(k, n, 2002, code[land[k][0].lower()], "Red", "s") for k, n in enumerate(names)] + [(11, "N. Oz", 1999, "WAD", None, "s")]
+    spark.createDataFrame(master, "tm_player_id long, player_name string, date_of_birth string, country_of_citizenship string, current_club_name string").write.parquet(f"{tmp_path}/tm_players.parquet")
+    spark.createDataFrame([("WAD", "Wadi Amr"), ("ILV", "Île-Vervane")], "code string, country string").write.parquet(f"{tmp_path}/nationality_map.parquet")
+    spark.createDataFrame(rows, "row_id long, player_name_fbref string, born int, nation string, club string, record_source string").write.parquet(f"{tmp_path}/unified_panel.parquet")
+    got = {r["row_id"]: (r["id"], r["method"]) for r in reference.resolve_cascade(spark, str(tmp_path)).collect()}
+    assert got == {k: (k, "exact") for k in range(5)} | {11: (11, "initials")}
+    assert one(spark.range(1).select(X.year_of(F.lit("born 12345")).alias("y"), X.folded(F.lit("İÎ-ğ 1")).alias("f"))) == {"y": None, "f": "iig"}
+
+
 # -- sources ---------------------------------------------------------------------------------------------------
 
 

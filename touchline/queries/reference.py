@@ -471,8 +471,9 @@ def name_fold(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Panel names against the player master by the cascade of tiers (fixtures in the tests)."""
-    m = table(spark, d, "tm_players").join(table(spark, d, "nationality_map"), F.col("country_of_citizenship") == F.col("country"), "left")
-    master = m.select(F.col("tm_player_id").alias("id"), F.col("player_name").alias("name"), F.substring("date_of_birth", 1, 4).try_cast("int").alias("year"), F.col("code").alias("nation"), F.col("current_club_name").alias("team"))
+    nations = table(spark, d, "nationality_map").select("code", X.folded(F.col("country")).alias("land"))
+    m = table(spark, d, "tm_players").withColumn("land", X.folded(F.col("country_of_citizenship"))).join(nations, "land", "left")
+    master = m.select(F.col("tm_player_id").alias("id"), F.col("player_name").alias("name"), X.year_of(F.col("date_of_birth")).alias("year"), F.col("code").alias("nation"), F.col("current_club_name").alias("team"))
     rows = table(spark, d, "unified_panel").select("row_id", F.col("player_name_fbref").alias("name"), F.col("born").alias("year"), "nation", F.col("club").alias("team"), F.col("record_source").alias("source"))
     return resolve.resolve(rows, master)
 
