@@ -173,6 +173,21 @@ def test_features_forward(spark):
     assert got["goals_per_90_lag1"] == 0.4 and math.isclose(got["delta_goals_per_90"], 9.6) and got["consecutive_seasons"] == 2
 
 
+def test_features_build_scores_every_stat_by_season_and_league(spark):
+    # 20 rows of two positions in one league: each position has 10 (too few), the league has enough
+    rows = [(f"p{i}", "2023-24", "DEF" if i % 2 else "MID", "L", 25.0, 900 + i, i % 5, i % 3, i % 7, float(i % 4), "Asia" if i else None) for i in range(20)]
+    df = spark.createDataFrame(rows, "player_id string, season string, primary_position string, league string, age_at_season_end double, minutes_played int, goals int, assists int, shots int, xg double, continent_group string")
+    built = features.build(df)
+    want = ["goals_per_90", "assists_per_90", "shots_per_90", "xg_per_90", "minutes_played", "goal_threat", "creative_threat"]
+    assert {c for c in built.columns if "_z_" in c} == {f"{s}_z_{g}" for s in want for g in ("position", "league")}
+    got = built.collect()
+    for s in want:
+        v = np.array([r[s] for r in got])
+        assert np.allclose([r[f"{s}_z_league"] for r in got], (v - v.mean()) / (v.std(ddof=1) + 1e-6))
+        assert all(r[f"{s}_z_position"] is None for r in got)
+    assert all(r["is_continent_Asia"] == (r["player_id"] != "p0") and r["is_continent_Other"] is False for r in got)
+
+
 def test_rating_gap_needs_history(spark):
     with pytest.raises(ValueError, match="history"):
         features.rating_gap(spark.createDataFrame([(1.0,)], "fifa_rating double"))

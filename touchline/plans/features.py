@@ -23,9 +23,16 @@ LAG_STATS = [
     "goals_per_90", "assists_per_90", "shots_per_90", "xg_per_90", "minutes_played", "matches_played",
     "tackles_won_per_90", "interceptions_per_90", "log_market_value", "fifa_rating", "fifa_potential",
 ]
+#: Stats with z-scores, where present. Fixed values.
+Z_SCORE_STATS = [
+    "goals_per_90", "assists_per_90", "shots_per_90", "xg_per_90", "xag_per_90", "npxg_per_90",
+    "tackles_won_per_90", "interceptions_per_90", "saves_per_90", "clean_sheets_per_match",
+    "minutes_played", "matches_played", "goal_threat", "defensive_actions", "creative_threat",
+]
 #: Age of the highest value by position. Fixed values.
 PEAK_AGE = {"GK": 30, "DEF": 26, "MID": 25, "FWD": 26}
 POSITIONS = ["GK", "DEF", "MID", "FWD"]
+CONTINENTS = ["Europe", "Africa", "SouthAmerica", "NorthAmerica", "Asia", "Oceania", "Other"]
 
 
 def _has(df: DataFrame, *names: str) -> bool:
@@ -60,11 +67,12 @@ def composites(df: DataFrame, least_shots: float = 0.5) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def z_scores(df: DataFrame, stats: Sequence[str], period: str = "season", position: str = "primary_position", league: str = "league", least: int = 15) -> DataFrame:
-    """<stat>_z_position within (period, position) and <stat>_z_league within (period, position, league)."""
-    for s in stats:
-        df = group_zscore(df, s, [period, position], f"{s}_z_position", least)
-        df = group_zscore(df, s, [period, position, league], f"{s}_z_league", least)
+def z_scores(df: DataFrame, stats: Sequence[str] = Z_SCORE_STATS, period: str = "season", position: str = "primary_position", league: str = "league", least: int = 15) -> DataFrame:
+    """<stat>_z_position within (period, position) and <stat>_z_league within (period, league), of the stats present."""
+    for keys, suffix in (([period, position], "z_position"), ([period, league], "z_league")):  # one sort for each grouping
+        for s in stats:
+            if s in df.columns:
+                df = group_zscore(df, s, keys, f"{s}_{suffix}", least)
     return df
 
 
@@ -110,12 +118,14 @@ def rating_gap(df: DataFrame) -> DataFrame:
     return df.withColumns(new)
 
 
-def build(df: DataFrame, z_stats: Sequence[str] = ("goals_per_90", "assists_per_90")) -> DataFrame:
-    """All modules in order."""
+def build(df: DataFrame, z_stats: Sequence[str] = Z_SCORE_STATS) -> DataFrame:
+    """All modules in order, but for the multipliers, whose tables are parameters of other queries."""
     df = composites(per_90(df))
-    df = z_scores(df, [s for s in z_stats if s in df.columns])
+    df = z_scores(df, z_stats)
     df = contract(age_curve(df)) if "contract_remaining_months" in df.columns else age_curve(df)
     df = one_hot(history(df), "primary_position", POSITIONS)
+    if "continent_group" in df.columns:
+        df = one_hot(df, "continent_group", CONTINENTS, "is_continent_")
     return rating_gap(df) if "fifa_rating_lag1" in df.columns else df
 
 

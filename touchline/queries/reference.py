@@ -521,7 +521,7 @@ def stacked_fit_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def feature_modules(spark: SparkSession, d: str) -> DataFrame:
-    """Every feature module over one row for each player and season."""
+    """The feature modules over one row for each player and season (README names what the panel has no input for)."""
     p = joins.keep_first(table(spark, d, "unified_panel"), ["player_id", "season"], [F.col("loaded_at").desc(), F.col("row_id")])
     numbers = {c: X.clean_number(F.col(c)) for c in ("xg", "fifa_rating", "contract_remaining_months", "age_at_season_end")}
     return features.build(p.withColumns(numbers | {"log_market_value": F.log1p(X.clean_number(F.col("market_value_eur")))}))
