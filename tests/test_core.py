@@ -308,6 +308,12 @@ def test_findings(spark, change, want):
     assert {r["load_id"] for r in got} <= {7}
 
 
+def test_findings_of_a_load_with_only_new_values(spark):
+    for change in (lambda i, n, t: (n, "legacy"), lambda i, n, t: (n, "x" + chr(97 + i % 26) + chr(97 + i // 26))):
+        counts = quality.value_counts(_loads(spark, change), "x", "load_id", RULES)
+        assert {(r["load_id"], r["column_name"]) for r in quality.findings(counts, RULES).filter("finding = 'distinct'").collect()} == {(7, "t")}
+
+
 def test_profiles_merge_and_odd_tables(spark):
     df = _loads(spark, loads=3)
     a, b = df.filter("n % 2 = 0"), df.filter("n % 2 = 1")

@@ -176,6 +176,8 @@ def findings(counts: DataFrame, rules: Sequence[ColumnRule], t: Thresholds = Thr
     seen = values.groupBy("table_name", "column_name", "v").agg(F.count(F.lit(1)).alias("loads"), F.sum("k").alias("all_k"))
     loads = totals.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("n_loads"))
     seen = seen.join(loads, ["table_name", "column_name"]).withColumn("ordinary", F.col("loads") > 0.5 * F.col("n_loads"))
+    # a column is compared if its loads share values at all, whether this load has any of them or not
+    seen = seen.withColumn("shared", F.max("ordinary").over(Window.partitionBy("table_name", "column_name")))
     grid = totals.join(seen, ["table_name", "column_name"])
     v = values.select(*[F.col(c).alias(f"_{c}") for c in (*PROFILE_KEYS, "v", "k")])
     same = reduce(lambda a, b: a & b, [grid[c].eqNullSafe(v[f"_{c}"]) for c in (*PROFILE_KEYS, "v")])
@@ -188,9 +190,9 @@ def findings(counts: DataFrame, rules: Sequence[ColumnRule], t: Thresholds = Thr
     grid = grid.withColumn("share", F.when(F.col("ordinary"), F.when(F.col("mo") > 0, F.col("k") / F.col("mo"))).otherwise(share))
     grid = grid.withColumn("base", _middle(F.col("share"), byv))
     q = F.least(F.greatest(F.col("base"), F.lit(0.005)), F.lit(0.995))
-    moved = F.col("ordinary") & (F.abs(F.col("share") - F.col("base")) > t.share_shift) & (F.abs(F.col("share") - q) / F.sqrt(q * (1 - q) / F.col("mo")) > t.z)
-    fresh = ~F.col("ordinary") & (F.col("mo") > 0) & (F.col("n_loads") >= 3) & (F.col("k") > 0) & (F.col("share") >= t.new_value_share)
-    gone = F.col("ordinary") & (F.col("k") == 0) & (F.col("base") * F.col("mo") > t.z * t.z)
+    moved = F.col("ordinary") & (F.abs(F.col("share") - F.col("base")) > t.share_shift) & (F.abs(F.col("share") - q) / F.sqrt(q * (1 - q) / F.nullif(F.col("mo"), F.lit(0))) > t.z)
+    fresh = ~F.col("ordinary") & F.col("shared") & (F.col("n_loads") >= 3) & (F.col("k") > 0) & (F.col("share") >= t.new_value_share)
+    gone = F.col("ordinary") & (F.col("k") == 0) & (F.col("base") * F.col("m") > t.z * t.z)
     tests = F.array(F.when(F.coalesce(moved, F.lit(False)), F.lit("distribution")), F.when(F.coalesce(fresh | gone, F.lit(False)), F.lit("distinct")))
     categorical = grid.select(*PROFILE_KEYS, F.explode(F.array_compact(tests)).alias("finding"))
     return numeric.unionByName(categorical).distinct()
