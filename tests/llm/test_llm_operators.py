@@ -94,6 +94,14 @@ def test_survivorship_rules(spark):
     assert _survive(spark, []).count() == 0
 
 
+def test_a_row_repeated_under_one_id_counts_once(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, "a", "s", "X", 900, False, "good", 1, t0, 0)] * 3 + [(2, "b", "s", "X", 900, False, "good", 1, t0, 0), (3, "b", "s", "Y", 100, False, "good", 1, t0, 1), (3, "b", "s", "Y", 100, False, "good", 1, t0, 2)]
+    got = {r["e"]: r for r in _survive(spark, rows).collect()}
+    assert (got["a"]["minutes"], got["a"]["minutes__built"], got["a"]["built_whole"], got["a"]["group_rows"], got["a"]["minutes__row_id"]) == (900, False, False, 1, 1)
+    assert (got["b"]["minutes"], got["b"]["minutes__built"], got["b"]["group_rows"]) == (1000, True, 2)
+
+
 # -- nearest in time --------------------------------------------------------------------------------------------
 
 
@@ -102,6 +110,22 @@ def _nearest(spark, ls, rs, days=45):
     return [tuple(r) for r in asof.nearest_in_time(left, right, "e", "lid", "t", "rid", "s", days).collect()]
 
 
+def test_one_bucket_of_one_entity_takes_linear_time(spark):
+    n = 120_000  # alternating seconds, all in one bucket: quadratic frames would need hours
+    left = spark.range(n).select(F.lit(1).alias("e"), F.timestamp_seconds(F.col("id") * 4).alias("t"), F.col("id").alias("lid"))
+    right = spark.range(n).select(F.lit(1).alias("e"), F.timestamp_seconds(F.col("id") * 4 + 1).alias("s"), F.col("id").alias("rid"))
+    got = asof.nearest_in_time(left, right, "e", "lid", "t", "rid", "s", 45)
+    assert got.filter("lid = rid and distance_us = 1000000").count() == n
+
+
+def test_rows_that_go_on_meet_the_edges_of_coarser_buckets(spark):
+    day, t0 = dt.timedelta(days=1), dt.datetime(2024, 3, 1)
+    right = [(1, k, t0 + k * day, 0) for k in range(0, 20)] + [(1, 100, t0 + 120 * day, 0)]
+    left = [(1, 1, t0 + 40 * day, 0), (1, 2, t0 - 30 * day, 0), (1, 3, t0 + 90 * day, 0), (1, 4, t0 + 69 * day, 0)]
+    assert {(l, r) for l, r, _ in _nearest(spark, left, right)} == {(1, 19), (2, 0), (3, 100)}
+
+
+
 def test_nearest_in_time_against_brute_force(spark):
     rng = random.Random(9)
     base = dt.datetime(2024, 1, 1)

@@ -1,8 +1,9 @@
 """One surviving record for each group of duplicates, chosen field by field.
 
 Every field is settled by the maximum of a composite struct (usable, source priority, time, ...), so a group is
-never collected or sorted: the maxima are taken in two aggregations with map-side combining, first within
-(keys, source, load), then within keys. A hot group shrinks to a row per task before it is shuffled.
+never collected or sorted. Copies of a row under one id are made one first, spread by that id; then the maxima are
+taken in two aggregations with map-side combining, within (keys, source, load) and within keys. A hot group is
+spread over all tasks by its ids and shrinks to a row per task before it is shuffled again.
 """
 
 from __future__ import annotations
@@ -65,8 +66,9 @@ def survive(df: DataFrame, sources: DataFrame, s: Survivorship, fields: dict[str
     source without rank comes last. columns: keys, group_rows, built_<whole>, for each field its value and
     <field>__row_id, and <amount>__built (the value was added up from parts).
     A group without a usable value has null value and null row id. Rows with a null key are no duplicates of
-    anything and are left out. Ties end with the lowest row id; a row repeated under one id counts once by that
-    tie-break. Other columns, also of clashing names, are not touched. Empty input gives no rows.
+    anything and are left out. Ties end with the lowest row id. A row repeated under one id, source and load counts
+    once, as a part, as an amount and in group_rows; where such copies differ, the latest and then the fullest and
+    greatest in the order of time, whole, amount and fields stands. Other columns, also of clashing names, are not touched. Empty input gives no rows.
     """
     ranks = sources.groupBy(F.col("record_source").alias("_rs")).agg(F.min("trust_rank").cast("int").alias("_rank"))
     keyed = df
@@ -77,6 +79,9 @@ def survive(df: DataFrame, sources: DataFrame, s: Survivorship, fields: dict[str
     keyed = keyed.withColumn("_trust", F.coalesce("_rank", F.lit(2**31 - 2))).withColumn("_src", F.coalesce(F.col(s.source), F.lit("")))
     part = ~F.coalesce(F.col(s.whole), F.lit(False))
     names = list(fields)
+    own = [*s.keys, s.row_id, s.source, s.load]
+    rest = [c for c in dict.fromkeys([s.loaded_at, s.whole, s.amount, *fields]) if c not in own]
+    keyed = keyed.groupBy(*own, "_src", "_trust").agg(F.max(F.struct(*rest)).alias("_r")).select(*own, "_src", "_trust", *[F.col("_r")[c].alias(c) for c in rest])
     first = keyed.groupBy(*s.keys, "_src", F.col(s.load).alias("_load")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.max(~part).alias("whole"),
