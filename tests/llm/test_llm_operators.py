@@ -313,20 +313,49 @@ def test_viterbi_against_every_tagging():
     import numpy as np
 
     rng = np.random.default_rng(23)
-    for _ in range(60):
-        n = int(rng.integers(1, 7))
-        scores, trans = rng.normal(size=n).tolist(), rng.normal(size=(2, 2, 4))
-        ends = np.cumsum(rng.integers(1, 30, n)).tolist()
+    for _ in range(150):
+        n = int(rng.integers(1, 10))
+        scores, trans = rng.normal(size=n) - 1.5, rng.normal(size=(2, 2))
 
         def value(tags):
-            v, p, last = 0.0, 1, 0
-            for s, t, e in zip(scores, tags, ends):
-                v += trans[p][t][S._far(e - last)] + (s if t else 0.0)
-                p, last = t, e
+            v, p = 0.0, 1
+            for s, t in zip(scores, tags):
+                v += trans[p][t] + (s if t else 0.0)
+                p = t
             return v
 
         best = max((list(t) for t in itertools.product((0, 1), repeat=n) if t[-1] == 1), key=value)
-        assert abs(value(S.viterbi(scores, ends, 0, trans)) - value(best)) < 1e-9
+        assert abs(value(S.viterbi(scores, trans).tolist()) - value(best)) < 1e-9
+
+
+def test_long_texts_without_spaces_take_linear_time(model):
+    import time
+
+    def seconds(k):
+        text = ("下半场，队长赢得了多数对抗（见表）。谁来接替？“好！”" * 40 + "(“「") * k
+        t = time.perf_counter()
+        spans = S.split(text, model)
+        assert spans[0][0] == 0 and spans[-1][1] == len(text)
+        return time.perf_counter() - t
+
+    assert seconds(4) > 0 and seconds(480) < 240 * max(seconds(8), 0.02)  # half a million characters in one block
+
+
+def test_scripts_without_marks_are_cut_by_wording():
+    sentences = ["下半场队长赢得了对抗", "客场比赛中门将扑出点球", "冬歇期以来后防线节奏偏慢", "报告说前锋丢球三次"]
+    rng = random.Random(3)
+    with_marks = ["".join(rng.choice(sentences) + "。" for _ in range(6)) for _ in range(80)]
+    learnt = S.train(with_marks)
+    hit = total = 0
+    for _ in range(30):
+        parts = [rng.choice(sentences) for _ in range(6)]
+        text, want, at = "".join(parts), set(), 0
+        for p in parts:
+            want.add((at, at + len(p)))
+            at += len(p)
+        hit += len(want & set(S.split(text, learnt)))
+        total += len(want)
+    assert hit / total > 0.95
 
 
 def test_sentences_cover_every_character(spark, model):

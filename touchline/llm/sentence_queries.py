@@ -13,7 +13,7 @@ from touchline.sources.tables import table
 
 #: Bounds of the training sample: texts a language label at most, and code points of a text in it.
 SAMPLE_PER_LABEL, SAMPLE_CHARS = 200, 4000
-#: Labels with a sample of their own; the rarer ones share one.
+#: Labels with a sample of their own; the rarer ones share one more.
 MOST_LABELS = 40
 
 
@@ -23,8 +23,10 @@ def training_texts(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL, most
     Long texts are left out of the sample, never cut. The bound holds for any table.
     """
     short = documents.filter((F.length("text") <= most_chars) & F.col("text").isNotNull()).select("doc_id", "text", F.lower(F.substring(F.coalesce("lang", F.lit("")), 1, 2)).alias("label"))
-    counts = short.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").limit(most_labels)
-    share = short.join(F.broadcast(counts), "label")  # at most most_labels rows
+    common = short.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "label").limit(most_labels).select(F.col("label").alias("_own"))
+    short = short.join(F.broadcast(common), F.col("label") == F.col("_own"), "left").withColumn("label", F.col("_own"))  # at most most_labels rows
+    counts = short.groupBy(F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("n"))
+    share = short.join(F.broadcast(counts), F.col("label").eqNullSafe(F.col("_l")))  # one row more
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     picked = share.filter(draw < F.lit(float(per_label)) / F.col("n")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label * (most_labels + 1))
     return [r["text"] for r in picked.select("text").collect()]
