@@ -45,21 +45,27 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def edits(a: str, b: str, most: int = 99) -> int:
-    """Edits (insert, delete, replace, swap of neighbours) between a and b; ``most + 1`` once it is more."""
+    """Edits (insert, delete, replace, swap of neighbours) between a and b; ``most + 1`` once it is more.
+
+    One row of the table is a pair of bit vectors (Hyyrö's scheme with transpositions): time is in proportion to b.
+    """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    prev2: list[int] = []
-    prev = list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        row = [i]
-        for j, cb in enumerate(b, 1):
-            d = min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (ca != cb))
-            if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
-                d = min(d, prev2[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-        prev2, prev = prev, row
-    return min(prev[-1], most + 1)
+    if not a or not b:
+        return min(max(len(a), len(b)), most + 1)
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, diagonal, last, distance = full, 0, 0, 0, len(a)
+    for ch in b:
+        match = masks.get(ch, 0)
+        swap = (((diagonal ^ full) & match) << 1) & last
+        diagonal = ((((match & up) + up) ^ up) | match | down | swap) & full
+        right_up, right_down = down | (full ^ (diagonal | up)), diagonal & up
+        distance += bool(right_up & top) - bool(right_down & top)
+        right_up, right_down = ((right_up << 1) | 1) & full, (right_down << 1) & full
+        up, down, last = right_down | (full ^ (diagonal | right_up)), right_up & diagonal, match
+    return min(distance, most + 1)
