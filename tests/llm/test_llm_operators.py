@@ -61,6 +61,32 @@ def test_link_names(spark):
     assert [(g["l"], g["r"]) for g in names.keep_best(pairs, "l", F.col("s"), [F.col("r")], 4.0, 1.0).collect()] == [(2, "a")]
 
 
+def test_rewritings_by_rule():
+    shared = lambda a, b: set(N.rewritings(a, [], True)) & set(N.rewritings(b, [], False))
+    for a, b in [
+        ("Bob Smith", "Robert Smith"), ("Bill Jones", "William Jones"), ("Sandro Rossi", "Alessandro Rossi"), ("Alex Hunter", "Alexander Hunter"),
+        ("Acme Trading Ltd.", "Acme Trading GmbH"), ("Acme Trading SA", "Acme Trading"), ("Heung Son", "Heung Som"), ("Jo Xu", "Jo Xi"),
+        ("Ana Maria Lopez Garcia Perez Ruiz", "Ruiz Garcia Ana Peres Maria Lopez"), ("Li Wei Chan", "Wei Chan Li"), ("Chan Li Wei", "Wei Chan Li"),
+    ]:
+        assert shared(a, b), (a, b)
+    assert "sa" in N.parse("Joao Sa") and N.parse("Acme Trading Ltd.") == N.parse("Acme Trading GmbH")
+    assert len(N.rewritings("x" * 4000 + " " + "yz" * 3000, [], True)) < 20_000
+
+
+def test_reach_only_leaves_out_pairs_it_says(spark):
+    rng = random.Random(5)
+    people = [(i, f"{rng.choice('ABC')}. {rng.choice(['Ivanov', 'Petrov'])}", [1990 + rng.randint(0, 9)] if rng.random() < 0.8 else None) for i in range(160)]
+    left, right = spark.createDataFrame(people[:40], "l long, name string, years array<int>"), spark.createDataFrame(people[40:], "r long, name string, years array<int>")
+    both = lambda reach: {(r["l"], r["r"]): r["owners"] for r in names.link_names(left, right, "l", "r", reach).collect()}
+    everyone, some = both(names.EVERYONE), both(names.Reach(8, 40, 60, 50))
+    assert set(some) < set(everyone)
+    years = {i: y[0] if y else None for i, _, y in people}
+    for (l, r), owners in everyone.items():
+        a, b = years[l], years[r]
+        bound = 50 if a is None or b is None else 60 if a == b else 40 if abs(a - b) == 1 else 8
+        assert ((l, r) in some) == (owners <= max(bound, 8)), (l, r, owners, a, b)
+
+
 # -- survivorship ----------------------------------------------------------------------------------------------
 
 SCHEMA = "row_id long, e string, p string, club string, minutes int, whole boolean, src string, load int, at timestamp, trust_rank int"
@@ -170,6 +196,20 @@ def test_mixture_separates_planted_matches(spark):
     assert linkage.match(df.unionByName(tie.withColumn("l", F.lit(-1))), "l", "r", ["a", "b", "c", "d"], F.when(F.col("a") > 0.8, 0.9).otherwise(0.05)).filter("l = -1").count() == 0
 
 
+def test_unlike_records_cannot_be_one(spark):
+    rng = random.Random(19)
+    rows = []
+    for i in range(200):
+        for j in range(4):
+            rows.append((i, i * 10 + j, 1990 + i % 7, *[min(1.0, max(0.0, rng.gauss(0.9 if j == 0 and i % 3 else 0.4, 0.1))) for _ in range(3)]))
+    rows += [(900, 7777, 1990, 0.95, 0.95, 0.95), (901, 7777, 1991, 0.95, 0.95, 0.95), (902, 8888, 1990, 0.95, 0.95, 0.95), (903, 8888, 1990, 0.95, 0.95, 0.95), (904, 8888, None, 0.95, 0.95, 0.95)]
+    df = spark.createDataFrame(rows, "l int, r int, born int, a double, b double, c double")
+    start = F.when(F.col("a") > 0.8, 0.9).otherwise(0.05)
+    got = {r["l"] for r in linkage.match(df, "l", "r", ["a", "b", "c"], start, identity="born").collect()}
+    assert not got & {900, 901} and {902, 903, 904} <= got
+    assert {900, 901} <= {r["l"] for r in linkage.match(df, "l", "r", ["a", "b", "c"], start).collect()}
+
+
 # -- packing ---------------------------------------------------------------------------------------------------
 
 

@@ -1,16 +1,18 @@
 """Canonical rewritings of names as people type them.
 
-A name is parsed into loosely spelled tokens and rewritten by rule: token order, initial for the given name,
-short given names, dropped middle names and particles, dropped legal forms and marks, one lost letter. Two
-spellings of one name share a rewriting, so variants meet in an equi-join on rewritings; how rare a rewriting
-is says how much sharing it means.
+A name is parsed into loosely spelled tokens and rewritten by rule: any order of its tokens, the initial for the
+given name, nicknames and shortened given names, dropped middle names, particles, legal forms and marks, one lost
+letter. Two spellings of one name share a rewriting, so variants meet in an equi-join on rewritings; how rare a
+rewriting is says how much sharing it means.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.similarity import edits
 
-#: Letters that decomposition leaves as they are, and Cyrillic letters, by usual Latin spelling.
+#: Letters that decomposition leaves as they are, and Cyrillic letters, by usual Latin spelling. Fixed values.
 LETTERS = {
     "ø": "o", "æ": "ae", "å": "a", "ß": "ss", "ı": "i", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "œ": "oe",
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "z", "з": "z", "и": "i", "й": "j", "к": "k", "л": "l", "м": "m", "н": "n",
@@ -26,6 +28,19 @@ LETTERS = {
     "э": "e", "ю": "ju", "я": "ja", "ђ": "d", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz",
 }
 PARTICLES = {"van", "der", "den", "von", "af", "av", "ben", "bin", "ibn", "al", "el", "dos", "das", "de", "do", "du", "di", "la", "le", "da", "del", "wan"}
+#: Given names that share no beginning or ending with what they are short for. Fixed values.
+NICKNAMES = {
+    "bob": "robert", "rob": "robert", "bobby": "robert", "bill": "william", "billy": "william", "will": "william", "liam": "william", "dick": "richard", "rick": "richard",
+    "jim": "james", "jimmy": "james", "jack": "john", "johnny": "john", "ted": "edward", "ned": "edward", "eddie": "edward", "tony": "anthony", "toni": "antonio", "tonio": "antonio",
+    "peggy": "margaret", "meg": "margaret", "maggie": "margaret", "molly": "mary", "polly": "mary", "betty": "elizabeth", "liz": "elizabeth", "beth": "elizabeth", "lisa": "elizabeth",
+    "harry": "henry", "hank": "henry", "chuck": "charles", "charlie": "charles", "kate": "katherine", "kitty": "katherine", "sally": "sarah", "nancy": "ann", "hans": "johannes", "hannes": "johannes",
+    "pepe": "jose", "paco": "francisco", "pancho": "francisco", "kiko": "francisco", "nacho": "ignacio", "chema": "jose maria", "quique": "enrique", "kike": "enrique", "lalo": "eduardo",
+    "tito": "alberto", "beto": "alberto", "sasha": "aleksandr", "sascha": "alexander", "misha": "mihail", "vanya": "ivan", "kolya": "nikolaj", "dima": "dmitrij", "zhenya": "evgenij",
+    "volodya": "vladimir", "lyosha": "aleksej", "gigi": "luigi", "beppe": "giuseppe", "pippo": "filippo", "zeca": "jose", "chico": "francisco", "mo": "mohammed", "hamza": "hamzah",
+}
+#: Legal forms of organisations; the short ones are also family names, so they only give a further rewriting. Fixed values.
+LEGAL_FORMS = {"ltd", "limited", "llc", "inc", "incorporated", "corp", "corporation", "gmbh", "plc", "srl", "sarl", "llp", "pty", "aps", "oyj", "spa", "company", "holding", "holdings"}
+SHORT_LEGAL_FORMS = {"sa", "ag", "ab", "as", "co", "nv", "bv", "oy", "kg", "kk", "se", "sl"}
 SUFFIXES = {"jr", "sr", "ii", "iii", "iv", "junior", "senior"}
 #: Spellings that stand for one sound, tried in order.
 SOUNDS = [("sch", "s"), ("ch", "c"), ("sh", "s"), ("zh", "z"), ("gh", "g"), ("kh", "k"), ("th", "t"), ("ph", "f"), ("ck", "k"), ("oe", "o"), ("ae", "a"), ("aa", "a"), ("ue", "u"), ("ei", "i"), ("ey", "i"), ("c", "k"), ("q", "k"), ("w", "v"), ("y", "i"), ("j", "i")]
@@ -80,6 +95,8 @@ def parse(name: str | None, spell: Callable[[str], str] = loose) -> list[str]:
         text = _HYPHEN.sub("", text)
     words = [re.sub(r"[^a-z0-9]", "", w) or w for w in map(ascii_fold, _words(text))]
     words = [w for w in words if w not in SUFFIXES]
+    named = [w for w in words if w not in LEGAL_FORMS]
+    words = named or words
     kept = [w for w in words if w not in PARTICLES] or words
     tokens = [t for t in map(spell, kept) if t]
     if len(tokens) > 1 and len(tokens[-1]) == 1 and len(tokens[0]) > 1:  # 'Family G.'
@@ -88,43 +105,80 @@ def parse(name: str | None, spell: Callable[[str], str] = loose) -> list[str]:
 
 
 def deletions(s: str) -> list[str]:
-    """s and every string with one letter of it lost; strings under four letters only themselves."""
-    return [s] if len(s) < 4 else list(dict.fromkeys([s, *(s[:i] + s[i + 1 :] for i in range(len(s)))]))
+    """s and every string with one letter of it lost; one letter alone only itself."""
+    return [s] if len(s) < 2 else list(dict.fromkeys([s, *(s[:i] + s[i + 1 :] for i in range(len(s)))]))
+
+
+#: Letters up to which a whole name is also written with one letter lost; the strings of a longer one would fill its
+#: square, it meets its variants by the forms made from tokens.
+WHOLE_LETTERS = 80
+
+
+def _token_hash(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
 
 
 def forms(tokens: list[str], years: Iterable[int], rotate: bool) -> list[str]:
     """Every rewriting, prefixed with its rule. rotate: also with the tokens in the other orders (one side of a match suffices).
 
-    c: all letters, one lost at most. s: initial and a later name, one letter of it lost at most. y: a name
-    alone with a year of birth. g: given name, one letter lost at most, with a year and the family initial.
+    c: all letters, one lost at most. o: the tokens in any order, one letter lost at most (a sum of token hashes).
+    n: nickname or full given name, with the rest. s: initial and a later name, one letter of it lost at most.
+    b, e: beginning or ending of the given name, with a later name. y: a name alone with a year of birth. g: given
+    name, one letter lost at most, with a year and the family initial.
     """
     if not tokens:
         return []
     out: dict[str, None] = {}
     orders = [tokens]
     if rotate and len(tokens) > 1:
-        orders += [tokens[k:] + tokens[:k] for k in range(1, min(len(tokens), 4))]
+        orders += [tokens[k:] + tokens[:k] for k in range(1, len(tokens) if len(tokens) <= 4 else 2)]
     for order in orders:
-        out.update((f"c|{d}", None) for d in deletions("".join(order)))
+        whole = "".join(order)
+        out.update((f"c|{d}", None) for d in (deletions(whole) if len(whole) <= WHOLE_LETTERS else [whole]))
         first, rest = order[0], order[1:]
         for later in rest:
             out.update((f"s|{first[0]}|{d}", None) for d in deletions(later))
+            if len(first) >= 3:
+                out[f"b|{first[:3]}|{later}"] = None
+                out[f"e|{first[-3:]}|{later}"] = None
         if rest:
+            out.update((f"n|{g}|{''.join(rest)}", None) for g in _given_names(first))
             for y in years:
                 out.update((f"g|{y}|{rest[-1][0]}|{d}", None) for d in deletions(first))
+    if len(tokens) > 2:
+        total = sum(map(_token_hash, tokens))
+        out[f"o|{total & (1 << 64) - 1:x}"] = None
+        for t in set(tokens):
+            rest_sum = total - _token_hash(t)
+            out.update((f"o|{rest_sum + _token_hash(d) & (1 << 64) - 1:x}", None) for d in deletions(t)[1:])
     for y in years:
         for t in tokens:
             out[f"y|{y}|{t}"] = None
     return list(out)
 
 
+_nicknames: dict[str, str] = {}
+
+
+def _given_names(token: str) -> list[str]:
+    """The given name and, for a nickname, what it is short for, both spelled loosely."""
+    if not _nicknames:
+        _nicknames.update((spell(k), spell(v.replace(" ", ""))) for spell in (loose, squeezed) for k, v in NICKNAMES.items())
+    full = _nicknames.get(token)
+    return [token] if full is None or full == token else [token, full]
+
+
 def rewritings(name: str | None, years: Iterable[int], rotate: bool) -> list[str]:
     """Every rewriting of a name: of its loose spelling, and of its letters as they are where these differ, for a
-    typing error may make or break a pair of letters that counts as one sound."""
+    typing error may make or break a pair of letters that counts as one sound; and without a short legal form at its end."""
     years = list(years)
     sound, letters = parse(name), parse(name, squeezed)
     out = forms(sound, years, rotate)
-    return out if letters == sound else list(dict.fromkeys(out + forms(letters, years, rotate)))
+    if letters != sound:
+        out = list(dict.fromkeys(out + forms(letters, years, rotate)))
+    if len(letters) > 1 and letters[-1] in SHORT_LEGAL_FORMS:
+        out = list(dict.fromkeys(out + forms(sound[:-1], years, rotate)))
+    return out
 
 
 def forms_column(name: Column, years: Column, rotate: bool) -> Column:
@@ -137,6 +191,7 @@ def forms_column(name: Column, years: Column, rotate: bool) -> Column:
     return run(name, F.coalesce(years, F.array().cast("array<int>")))
 
 
+@lru_cache(maxsize=1 << 16)
 def _near(a: str, b: str) -> float:
     """1 for equal tokens, less by edits, against the longer one's length."""
     if a == b:
@@ -151,6 +206,8 @@ def _given(a: str, b: str) -> float:
         return 1.0
     if len(a) == 1 or len(b) == 1:
         return 0.85 if a[0] == b[0] else 0.0
+    if set(_given_names(a)) & set(_given_names(b)):
+        return 0.85
     short, long = sorted((a, b), key=len)
     stem = 0
     while stem < len(short) and short[stem] == long[stem]:
@@ -231,11 +288,12 @@ def clubs_agree(a: Column, b: Column) -> Column:
             return known[n]
 
         def one(p: object, q: object) -> float | None:
-            ps = {k for k in map(key, p if p is not None else []) if len(k) > 3}
-            qs = {k for k in map(key, q if q is not None else []) if len(k) > 3}
+            ps = {k for k in map(key, p if p is not None else []) if k}
+            qs = {k for k in map(key, q if q is not None else []) if k}
             if not ps or not qs:
                 return None
-            return 1.0 if ps & qs or any(edits(i, j, most=1) <= 1 for i in ps for j in qs) else 0.0
+            # a letter more or less makes another name of a short one
+            return 1.0 if ps & qs or any(edits(i, j, most=1) <= 1 for i in ps for j in qs if min(len(i), len(j)) > 3) else 0.0
 
         return pd.Series([one(p, q) for p, q in zip(x, y)], dtype="float64")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,23 +11,63 @@ from touchline.llm import name_forms as N
 from touchline.plans.lineage import cut
 
 
+#: Stands for the year of those whose year is unknown.
+UNKNOWN = -1
+
+
 def exploded_forms(df: DataFrame, key: str, name: str, years: str, rotate: bool) -> DataFrame:
     """(key, h) for every distinct rewriting of a key's names; h is the rewriting's 64-bit hash."""
     f = df.select(key, F.explode(N.forms_column(F.col(name), F.col(years), rotate)).alias("f"))
     return f.select(key, F.xxhash64("f").alias("h")).distinct()
 
 
-def rewriting_pairs(left_forms: DataFrame, right_forms: DataFrame, left_key: str, right_key: str, n_right: int) -> DataFrame:
-    """(left_key, right_key, rarity, owners, shared): pairs that share a rewriting.
+@dataclass(frozen=True)
+class Reach:
+    """Owners up to which a shared rewriting alone makes a pair a candidate, by what the years of birth say about the pair.
+
+    A rewriting that more entities own says less than the decision needs, whatever else agrees: the caller derives
+    the bounds from its own score, so that no pair that could be decided for is left out. None: no bound.
+    """
+
+    any_year: float
+    near_year: float
+    same_year: float | None = None
+    unknown_year: float | None = None
+
 
-    owners: right entities that have the rarest rewriting shared; rarity: log2(all right entities / owners). Rewritings are
-    counted before they are joined and only those both sides have are shuffled on. A name has some hundred
+#: Any number of owners may share a rewriting.
+EVERYONE = Reach(float(2**62), float(2**62))
+
+
+def _at_most(bound: float | None) -> Column:
+    return F.lit(True) if bound is None else F.col("df") <= bound
+
+
+def rewriting_pairs(left_forms: DataFrame, right_forms: DataFrame, left_years: DataFrame, right_years: DataFrame, left_key: str, right_key: str, n_right: int, reach: Reach) -> DataFrame:
+    """(left_key, right_key, rarity, owners, shared): pairs that share a rewriting within ``reach``.
+
+    left_years, right_years: a row for each key with ``years``, its possible years of birth, empty where none is known.
+    owners: right entities that have the rarest rewriting shared; rarity: log2(all right entities / owners). A common
+    rewriting is joined together with a year, so that neither its owners nor their pairs meet in one place. Rewritings
+    are counted before they are joined and only those both sides have are shuffled on. A name has some hundred
     rewritings, which size estimates don't know: every join asks for a sort-merge, never a broadcast.
     """
     wanted = left_forms.select("h").distinct().hint("merge")
-    right = right_forms.join(wanted, "h", "left_semi")
+    right = cut(right_forms.join(wanted, "h", "left_semi"))
     df = right.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    pairs = left_forms.join(df.hint("merge"), "h").join(right.select("h", right_key).hint("merge"), "h")
+    left = cut(left_forms.join(df.hint("merge"), "h"))
+    rare, common = left.filter(F.col("df") <= reach.any_year), left.filter(F.col("df") > reach.any_year)
+    pairs = rare.join(right.hint("merge"), "h").select(left_key, right_key, "df")
+    dated = common.join(left_years.hint("merge"), left_key)
+    near = F.array_distinct(F.flatten(F.transform("years", lambda y: F.array(y - 1, y, y + 1))))
+    years = F.when(F.col("df") <= reach.near_year, near).when(_at_most(reach.same_year), F.col("years")).otherwise(F.array().cast("array<int>"))
+    asked = F.concat(years, F.when(_at_most(reach.unknown_year), F.array(F.lit(UNKNOWN))).otherwise(F.array().cast("array<int>")))
+    dated_left = dated.filter(F.size("years") > 0).select("h", left_key, "df", F.explode(asked).alias("y"))
+    common_right = right.join(common.select("h").distinct().hint("merge"), "h", "left_semi").join(right_years.hint("merge"), right_key)
+    dated_right = common_right.select("h", right_key, F.explode(F.when(F.size("years") > 0, F.col("years")).otherwise(F.array(F.lit(UNKNOWN)))).alias("y"))
+    pairs = pairs.unionByName(dated_left.join(dated_right.hint("merge"), ["h", "y"]).select(left_key, right_key, "df"))
+    undated = dated.filter((F.size("years") == 0) & _at_most(reach.unknown_year)).select("h", left_key, "df")
+    pairs = pairs.unionByName(undated.join(right.hint("merge"), "h").select(left_key, right_key, "df"))
     bits = F.log2(F.lit(float(max(n_right, 1))) / F.col("df"))
     return pairs.groupBy(left_key, right_key).agg(F.max(bits).alias("rarity"), F.min("df").alias("owners"), F.count(F.lit(1)).alias("shared"))
 
@@ -37,8 +79,13 @@ def keep_best(pairs: DataFrame, left: str, score: Column, order: list[Column], l
     return ranked.filter((F.col("n") == 1) & (F.col("score") >= least) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin)))
 
 
-def link_names(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Candidate pairs with name evidence.
+def _years(df: DataFrame, key: str) -> DataFrame:
+    """(key, years): every possible year of a key; a key has few."""
+    return df.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set(F.coalesce(F.col("years"), F.array().cast("array<int>"))))).alias("years"))
+
+
+def link_names(left: DataFrame, right: DataFrame, left_key: str, right_key: str, reach: Reach = EVERYONE) -> DataFrame:
+    """Candidate pairs with name evidence; ``reach`` says how common a rewriting may be.
 
     left and right have their key, ``name`` and ``years`` (array<int> of possible years of birth, may be null);
     a key may have several rows, one for each spelling. Null and blank names have no rewriting and no pair.
@@ -50,7 +97,7 @@ def link_names(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     lf = cut(exploded_forms(ls, left_key, "name", "years", rotate=True))
     rf = cut(exploded_forms(rs, right_key, "name", "years", rotate=False))
     n_right = rs.agg(F.count_distinct(right_key)).first()[0]
-    pairs = rewriting_pairs(lf, rf, left_key, right_key, n_right)
+    pairs = rewriting_pairs(lf, rf, _years(ls, left_key), _years(rs, right_key), left_key, right_key, n_right, reach)
     ln = ls.select(left_key, F.col("name").alias("left_name")).distinct()
     rn = rs.select(right_key, F.col("name").alias("right_name")).distinct()
     spelled = pairs.join(ln.hint("merge"), left_key).join(rn.hint("merge"), right_key)
