@@ -37,7 +37,9 @@ def test_nan_is_null_and_rates_are_guarded(spark):
 
 
 def test_names_fold():
-    assert [X.fold_text(n) for n in ("O'Riley", "Ødegaard", "L. Messi", "  Jean-Luc   Đoković ", None, "")] == ["oriley", "odegaard", "l messi", "jean luc dokovic", None, ""]
+    assert [X.fold_text(n) for n in ("O'Riley", "Ødegaard", "L. Messi", "  Jean-Luc   Đoković ", "Ħal Għaxaq", "Иван Ivan 7", None, "")] == ["oriley", "odegaard", "l messi", "jean luc dokovic", "hal ghaxaq", "ivan 7", None, ""]
+    assert [X.fold_compact(n) for n in ("Côte d'Ivoire", "Korea, North", None)] == ["cotedivoire", "koreanorth", None]
+    assert [X.fold_ascii(n) for n in ("Ødegaard", "J. Müller-Lee", None)] == ["degaard", "j  muller lee", None]
 
 
 def test_initials_and_lone_names(spark):
@@ -46,7 +48,7 @@ def test_initials_and_lone_names(spark):
     assert [tuple(r) for r in got][:2] == [("l messi", "l messi"), ("d", "danilo")]
 
 
-@pytest.mark.parametrize(("text", "amount", "kind"), [("€1.5m", 1.5e6, "fee"), ("1,5m", 15e6, "fee"), ("€500k", 5e5, "fee"), ("€800Th.", 8e5, "fee"), ("loan fee: €2m", None, "loan"), ("free transfer", None, "free"), ("-", None, "undisclosed"), ("", None, "undisclosed"), (None, None, "undisclosed")])
+@pytest.mark.parametrize(("text", "amount", "kind"), [("€1.5m", 1.5e6, "paid"), ("1,5m", 15e6, "paid"), ("€500k", 5e5, "paid"), ("€800Th.", 800.0, "paid"), (" €\u00a02.10bn ", 2.1e9, "paid"), ("€1,250", 1250.0, "paid"), ("loan fee: €2m", None, "loan"), ("End of loan Jun 30", None, "end_of_loan"), ("free transfer", None, "free"), ("loan, free of charge", None, "free"), ("fee 3m", None, "undisclosed"), ("1.2.3m", None, "undisclosed"), ("-", None, "undisclosed"), ("?", None, "undisclosed"), ("", None, "undisclosed"), (None, None, "undisclosed")])
 def test_fees(spark, text, amount, kind):
     a, k = X.fee_parts(F.col("t"))
     assert tuple(spark.createDataFrame([(text,)], "t string").select(a, k).first()) == (amount, kind)
@@ -178,14 +180,44 @@ def test_features_build_scores_every_stat_by_season_and_league(spark):
     rows = [(f"p{i}", "2023-24", "DEF" if i % 2 else "MID", "L", 25.0, 900 + i, i % 5, i % 3, i % 7, float(i % 4), "Asia" if i else None) for i in range(20)]
     df = spark.createDataFrame(rows, "player_id string, season string, primary_position string, league string, age_at_season_end double, minutes_played int, goals int, assists int, shots int, xg double, continent_group string")
     built = features.build(df)
-    want = ["goals_per_90", "assists_per_90", "shots_per_90", "xg_per_90", "minutes_played", "goal_threat", "creative_threat"]
-    assert {c for c in built.columns if "_z_" in c} == {f"{s}_z_{g}" for s in want for g in ("position", "league")}
+    want = ["goals_per_90", "assists_per_90", "shots_per_90", "xg_per_90", "minutes_played", "goal_threat"]
+    unknown = ["creative_threat", "defensive_actions"]
+    assert {c for c in built.columns if "_z_" in c} == {f"{s}_z_{g}" for s in want + unknown for g in ("pos", "league")}
     got = built.collect()
     for s in want:
         v = np.array([r[s] for r in got])
         assert np.allclose([r[f"{s}_z_league"] for r in got], (v - v.mean()) / (v.std(ddof=1) + 1e-6))
-        assert all(r[f"{s}_z_position"] is None for r in got)
+        assert all(r[f"{s}_z_pos"] is None for r in got)
+    assert all(r[f"{s}_z_{g}"] is None for r in got for s in unknown for g in ("pos", "league"))
     assert all(r["is_continent_Asia"] == (r["player_id"] != "p0") and r["is_continent_Other"] is False for r in got)
+    assert all(r["year_inflation_multiplier"] == 1.254 for r in got)
+    thin = {(r["stat"], r["grouping"]): r["n_groups"] for r in features.thin_groups(built).collect()}
+    assert thin[("goals_per_90", "z_pos")] == 2 and thin[("goals_per_90", "z_league")] == 0 and thin[("creative_threat", "z_pos")] == 0
+
+
+def test_composites_by_formula(spark):
+    names = ["xg", "shots", "xag", "understat_xa", "tackles_won", "interceptions", "goals", "assists"]
+    rows = [(0.4, 2.0, 0.3, 0.9, 1.0, 2.0, 0.5, 0.2), (0.4, 0.4, None, 0.9, None, 2.0, 0.5, 0.2), (None, None, None, None, 1.0, 1.0, 0.5, 0.2)]
+    got = features.composites(spark.createDataFrame(rows, ", ".join(f"{n}_per_90 double" for n in names))).collect()
+    keys = ["goal_threat", "creative_threat", "defensive_actions", "shooting_efficiency", "attacking_output", "composite_completeness"]
+    want = [(1.4, 0.3, 3.0, 0.25, 0.85, 1.0), (0.6, 0.9, None, None, 1.15, 0.6), (None, None, 2.0, None, 0.7, 0.4)]
+    for r, w in zip(got, want):
+        assert [None if r[k] is None else round(r[k], 9) for k in keys] == [None if x is None else x for x in w]
+
+
+def test_multipliers_and_notes(spark):
+    df = spark.createDataFrame([("2022-23", "A", None), ("2030-31", "B", 1.0)], "season string, league string, p double")
+    got = features.multipliers(df, leagues={"A": 1.5}).select("*", features.fallback_notes({"goals": "p"}).alias("notes")).collect()
+    assert [(r["year_inflation_multiplier"], r["league_value_multiplier"], len(r["notes"])) for r in got] == [(1.1, 1.5, 1), (None, None, 0)]
+    assert "league_value_multiplier" in features.multipliers(df.withColumn("league_value_multiplier", F.lit(9)), leagues={"A": 1.5}).columns
+
+
+def test_collapse_leaves_single_parts_alone(spark):
+    df = spark.createDataFrame([("a", "x", 0, 3.0, 80.0, 0.7), ("b", "y", 1000, 5.0, 80.0, 0.45), ("b", "z", 500, 3.0, 90.0, 0.54)], "id string, club string, minutes int, goals double, pass_pct double, per90 double").withColumn("nineties", F.col("minutes") / 90)
+    got = {r["id"]: r for r in panel.collapse_parts(df, ["id"], "minutes", [F.col("club")], ["goals", "nineties"], ["pass_pct"], {"per90": ("goals", "nineties")}, ["club"]).collect()}
+    assert (got["a"]["pass_pct"], got["a"]["per90"]) == (80.0, 0.7)  # no minutes, one part: as it stands
+    assert math.isclose(got["b"]["pass_pct"], (80 * 1000 + 90 * 500) / 1500) and math.isclose(got["b"]["per90"], 8 / (1500 / 90)) and got["b"]["club"] == "y"
+    assert [panel.stat_kind(c) for c in ("goals_per_90", "save_pct", "on_off", "avg_len", "goals")] == ["rate", "mean", "mean", "mean", "sum"]
 
 
 def test_rating_gap_needs_history(spark):
@@ -207,7 +239,77 @@ def test_resolver_cascade(spark):
     )
     overrides = spark.createDataFrame([("Variant", "src", 4)], "variant_name string, source string, id long")
     got = {r["row_id"]: (r["id"], r["method"]) for r in resolve.resolve(rows, master, overrides).collect()}
-    assert got == {1: (1, "exact"), 2: (3, "exact"), 3: (None, "unmatched"), 4: (5, "initials"), 5: (None, "unmatched"), 6: (1, "fuzzy"), 7: (4, "manual"), 8: (None, "unmatched"), 9: (None, "unmatched")}
+    assert got == {1: (1, "exact"), 2: (3, "exact"), 3: (None, "unmatched"), 4: (5, "fuzzy_team"), 5: (5, "fuzzy_nat"), 6: (1, "fuzzy_nat"), 7: (4, "manual"), 8: (None, "unmatched"), 9: (None, "unmatched")}
+
+
+_MASTER = "id long, name string, year int, nation string, team string"
+_ROWS = "row_id long, name string, year int, nation string, team string, source string"
+
+
+def _resolved(spark, master, rows, overrides=None):
+    o = None if overrides is None else spark.createDataFrame(overrides, "variant_name string, source string, id long")
+    return {r["row_id"]: r for r in resolve.resolve(spark.createDataFrame(rows, _ROWS), spark.createDataFrame(master, _MASTER), o).collect()}
+
+
+def test_resolver_takes_the_best_name_and_falls_through(spark):
+    master = [
+        (1, "jonathan smithe", 1990, "ENG", "Red"), (2, "nathan smith", 1990, "ENG", "Blue"),
+        (3, "Sam Roe", 1991, "ENG", "Old Town FC"), (4, "Sam Roe", 1991, "WAL", "Newport"), (5, "Sam Roe", 1991, "WAL", "Cardiff"),
+        (6, "Ivo Kral", 1985, None, "Brno"), (7, "Petr Vlk", 1992, "CZE", None), (8, "Petr Vlk", 1993, "CZE", "Zlin"),
+    ]
+    rows = [
+        (1, "jonathan smith", 1990, "ENG", None, "s"),  # 96.6 against 92.3: the best name wins
+        (2, "Sam Roe", 1991, "ENG", None, "s"),  # one namesake of the nation
+        (3, "Sam Roe", 1991, "WAL", "Newport County", "s"), (4, "Sam Roe", 1991, "WAL", "Newport", "s"),
+        (5, "Sam Roe", 1991, "SCO", "Old Town", "s"),  # none of the nation: all namesakes, told apart by club
+        (6, "Ivo Kral", 1985, "CZE", None, "s"),  # name and year alone
+        (7, "Ivo Kralj", None, None, None, "s"),  # neither year nor nation: all of the master
+        (8, "Petr Vlk", 1999, "CZE", "FC Zlin", "s"), (9, "Petr Vlk", 1999, "CZE", None, "s"),
+        (10, "Sam Roe", 2001, "ISL", None, "s"),  # known, but no such block
+        (11, "  vLK-petr ", None, "CZE", None, "t"), (12, "...", 1990, "ENG", None, "s"),
+    ]
+    got = _resolved(spark, master, rows, [("vlk petr", "t", 7), ("Sam Roe", "other", 3)])
+    assert {k: (r["id"], r["method"]) for k, r in got.items()} == {
+        1: (1, "fuzzy_nat"), 2: (3, "exact"), 3: (None, "unmatched"), 4: (4, "exact"), 5: (3, "exact_name_year"), 6: (6, "exact_name_year"), 7: (6, "fuzzy"),
+        8: (8, "fuzzy_team"), 9: (None, "unmatched"), 10: (None, "unmatched"), 11: (7, "manual"), 12: (None, "unmatched"),
+    }
+    assert math.isclose(got[1]["score"], 2 * 14 / 29 * 100) and got[9]["score"] == 100.0 and got[9]["n_candidates"] == 2 and [c["id"] for c in got[9]["candidates"]] == [7, 8]
+    a = {r["row_id"]: r for r in resolve.audit(spark.createDataFrame(rows, _ROWS), spark.createDataFrame(list(got.values()), resolve.resolve(spark.createDataFrame(rows, _ROWS), spark.createDataFrame(master, _MASTER)).schema)).collect()}
+    assert (a[9]["candidate_ids"], a[9]["candidate_scores"], a[1]["input_norm_name"]) == ("7;8", "100.0;100.0", "jonathan smith")
+
+
+def test_name_index_finds_every_pair_over_the_threshold():
+    import random
+    from collections import Counter
+
+    from touchline.functions.similarity import token_set_ratio
+
+    rng = random.Random(11)
+    base = ["anna maria", "ban nam", "jon smith", "jonathan smithe", "li", "xu", "o neil", "van der berg", "aaaa aaa", "abcabcabc"]
+    names = set(base)
+    while len(names) < 260:
+        x = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            k, op = rng.randrange(len(x) + 1), rng.randint(0, 2)
+            x[k : k + (op > 0)] = rng.choice("abno ") if op < 2 else ""
+        folded = " ".join("".join(x).split())
+        if folded:
+            names.add(folded)
+    counts = Counter(p for n in names for p in resolve.letter_pairs(n))
+    keys = {n: set(resolve.index_keys(n, counts, 85.0)) for n in names}
+    hits = [(a, b) for a in names for b in names if token_set_ratio(a, b) >= 85.0]
+    assert len(hits) > 400 and all(keys[a] & keys[b] for a, b in hits)
+
+
+def test_clubs_and_nationalities(spark):
+    df = spark.createDataFrame([("Manchester Utd", "Manchester United FC"), ("Wolves", "Wolverhampton"), ("FC", "AFC"), ("Real Sporting", "Real Sportng"), ("Red", "Blue"), (None, "Red")], "a string, b string")
+    got = [r[0] for r in df.select(resolve.clubs_match(X.club_key(F.col("a")), X.club_key(F.col("b")))).collect()]
+    assert got == [True, True, False, True, False, False]
+    c = spark.createDataFrame([("ENG",), ("England",), ("Turkiye",), ("cote d ivoire",), ("Nowhere",), (" ",), (None,)], "c string")
+    n = X.nationality(F.col("c"), {"ENG": "England"}, ["England", "Turkey", "Côte d'Ivoire"], {"Turkiye": "Turkey"})
+    assert [r[0] for r in c.select(n).collect()] == ["England", "England", "Turkey", "Côte d'Ivoire", None, None, None]
+    with pytest.raises(ValueError, match="Atlantis"):
+        X.require_targets({"ATL": "Atlantis"}, ["England"])
 
 
 def test_resolver_query_reads_every_form_of_date_and_country(spark, tmp_path):
@@ -223,7 +325,7 @@ def test_resolver_query_reads_every_form_of_date_and_country(spark, tmp_path):
     spark.createDataFrame([("WAD", "Wadi Amr"), ("ILV", "Île-Vervane")], "code string, country string").write.parquet(f"{tmp_path}/nationality_map.parquet")
     spark.createDataFrame(rows, "row_id long, player_name_fbref string, born int, nation string, club string, record_source string").write.parquet(f"{tmp_path}/unified_panel.parquet")
     got = {r["row_id"]: (r["id"], r["method"]) for r in reference.resolve_cascade(spark, str(tmp_path)).collect()}
-    assert got == {k: (k, "exact") for k in range(5)} | {11: (11, "initials")}
+    assert got == {k: (k, "exact") for k in range(5)} | {11: (11, "fuzzy_nat")}
     assert one(spark.range(1).select(X.year_of(F.lit("born 12345")).alias("y"), X.folded(F.lit("İÎ-ğ 1")).alias("f"))) == {"y": None, "f": "iig"}
 
 

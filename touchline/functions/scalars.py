@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -72,8 +72,8 @@ def synthetic_id(*columns: Column, prefix: str = "synthetic_", digits: int = 12)
 
 
 def slug(c: Column) -> Column:
-    """Lower case, without the marks of common letters, underscores for spaces."""
-    return F.replace(F.translate(F.lower(c), "áàâäãåçéèêëíìîïñóòôöõúùûü", "aaaaaaceeeeiiiinooooouuuu"), F.lit(" "), F.lit("_"))
+    """Lower case with u for ü and underscores for spaces, as folders of leagues are named."""
+    return F.translate(F.lower(c), "ü ", "u_")
 
 
 def months_until(end: Column, start: Column, days_per_month: float = 30.44) -> Column:
@@ -82,10 +82,10 @@ def months_until(end: Column, start: Column, days_per_month: float = 30.44) -> C
 
 
 def age_at(born_on: Column, born_year: Column, on: Column) -> tuple[Column, Column]:
-    """(age in years, precision): exact from a date of birth, else the difference of years."""
+    """(age in years, precision): exact from a date of birth, else the difference of years, ``year_only`` even where that is null."""
     exact = F.datediff(on, born_on) / 365.25
     rough = (F.year(on) - born_year).cast("double")
-    return F.coalesce(exact, rough), F.when(exact.isNotNull(), "exact").when(rough.isNotNull(), "year_only").otherwise("unknown")
+    return F.coalesce(exact, rough), F.when(born_on.isNotNull(), "exact").otherwise("year_only")
 
 
 def transfer_window(on: Column) -> Column:
@@ -107,17 +107,21 @@ def extrapolated(year: Column, table: Mapping[int, float], growth: float = 1.15)
 
 
 def fee_parts(text: Column) -> tuple[Column, Column]:
-    """(amount, kind) of a fee as written: '€1.5m' -> (1500000, 'fee').
+    """(amount, kind) of a fee as written: '€1.5m' -> (1500000, 'paid').
 
-    Commas are dropped ('1,5m' is 15 million); any mention of a loan has no amount; 'free' has none either;
-    '-', '?' and blanks are undisclosed.
+    Free transfers come first, then ends of loans, then loans; none has an amount. A number counts where the text
+    begins with it (without the euro sign), its commas dropped ('1,5m' is 15 million), times bn, m or k. All else,
+    and a number that is none ('1.2.3'), is undisclosed.
     """
-    t = F.lower(F.trim(F.regexp_replace(text, "[€,]", "")))
-    number = F.regexp_extract(t, r"(\d+(?:\.\d+)?)\s*(bn|m|k|th)?", 1)
-    unit = F.regexp_extract(t, r"(\d+(?:\.\d+)?)\s*(bn|m|k|th)?", 2)
-    factor = F.when(unit == "bn", 1e9).when(unit == "m", 1e6).when(unit.isin("k", "th"), 1e3).otherwise(1.0)
-    kind = F.when(text.isNull() | t.isin("", "-", "?"), "undisclosed").when(t.contains("loan"), "loan").when(t.contains("free"), "free").when(number != "", "fee").otherwise("undisclosed")
-    return F.when(kind == "fee", number.try_cast("double") * factor), kind
+    t = F.trim(F.replace(F.lower(F.trim(F.replace(text, F.lit("\u00a0"), F.lit(" ")))), F.lit("€"), F.lit("")))
+    begin = r"^([\d.,]+)\s*(bn|m|k)?"
+    number = F.replace(F.regexp_extract(t, begin, 1), F.lit(","), F.lit("")).try_cast("double")
+    factor = mapped(F.regexp_extract(t, begin, 2), {"bn": 1e9, "m": 1e6, "k": 1e3}, 1.0)
+    kind = F.when(text.isNull(), "undisclosed")
+    for word, name in (("free", "free"), ("end of loan", "end_of_loan"), ("loan", "loan")):
+        kind = kind.when(t.contains(word), name)
+    kind = kind.when(number.isNotNull(), "paid").otherwise("undisclosed")
+    return F.when(kind == "paid", number * factor), kind
 
 
 def year_of(c: Column) -> Column:
@@ -132,31 +136,100 @@ def folded(c: Column) -> Column:
 
 
 #: Letters that Unicode decomposition leaves whole. Fixed values.
-WHOLE_LETTERS = {"ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i"}
+WHOLE_LETTERS = {"ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i", "ħ": "h"}
+
+
+def plain_letters(text: str) -> str:
+    """Case folded, without marks, letters that decomposition leaves whole by their usual spelling."""
+    text = "".join(WHOLE_LETTERS.get(ch, WHOLE_LETTERS.get(ch.lower(), ch)) for ch in text)
+    return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch)).casefold()
 
 
 def fold_text(name: str | None) -> str | None:
-    """Lower case without marks; apostrophes vanish, other punctuation parts words, spaces are squeezed."""
+    """Latin letters and digits in lower case without marks; apostrophes vanish, all else parts words, spaces are squeezed."""
     if name is None:
         return None
-    text = "".join(WHOLE_LETTERS.get(ch, WHOLE_LETTERS.get(ch.lower(), ch)) for ch in name)
-    text = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch)).casefold()
-    text = re.sub(r"['’‘`´]", "", text)
-    return " ".join(re.sub(r"[^\w\s]|_", " ", text).split())
+    return " ".join(re.sub(r"[^a-z0-9]+", " ", re.sub("['’]", "", plain_letters(name))).split())
 
 
-def fold_name(c: Column) -> Column:
-    """``fold_text`` over Arrow batches, each distinct name of a batch once."""
+def fold_compact(text: str | None) -> str | None:
+    """Latin letters and digits alone, for names of countries."""
+    return None if text is None else re.sub(r"[^a-z0-9]", "", plain_letters(text))
+
+
+def fold_ascii(name: str | None) -> str | None:
+    """The plainer fold of source cross-checks: letters outside ASCII are dropped, marks too, gaps are kept as they are."""
+    if name is None:
+        return None
+    text = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower()
+    return re.sub("[^a-z ]", " ", text).strip()
+
+
+def _each_distinct(c: Column, f: Callable[[str], str | None]) -> Column:
+    """f over Arrow batches, once for each distinct text of a batch."""
 
     @F.pandas_udf("string")
-    def run(names: pd.Series) -> pd.Series:
-        return names.map({n: fold_text(n) for n in names.dropna().unique()})
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map({t: f(t) for t in texts.dropna().unique()})
 
     return run(c)
 
 
+def fold_name(c: Column) -> Column:
+    """``fold_text`` of a column."""
+    return _each_distinct(c, fold_text)
+
+
+def fold_country(c: Column) -> Column:
+    """``fold_compact`` of a column."""
+    return _each_distinct(c, fold_compact)
+
+
+def fold_name_ascii(c: Column) -> Column:
+    """``fold_ascii`` of a column."""
+    return _each_distinct(c, fold_ascii)
+
+
 def initials(folded: Column, lone_to_letter: bool = True) -> Column:
     """First word as its letter: 'lionel messi' -> 'l messi'. A lone word becomes a letter too unless told otherwise."""
     words = F.split(folded, " ")
     many = F.concat_ws(" ", F.concat(F.array(F.substring(folded, 1, 1)), F.slice(words, 2, F.size(words))))
     return F.when(F.size(words) > 1, many).otherwise(F.substring(folded, 1, 1) if lone_to_letter else folded)
+
+
+#: Words of a club's name that mean another, and words that say nothing. Fixed values.
+CLUB_ALIASES = {"utd": "united", "inter": "internazionale", "wolves": "wolverhampton", "spurs": "tottenham", "psg": "paris"}
+CLUB_STOPWORDS = ["fc", "afc", "cf", "sc", "ac", "as", "ss", "ssc", "us", "ud", "cd", "rc", "club", "calcio", "de", "of"]
+
+
+def club_key(c: Column, aliases: Mapping[str, str] = CLUB_ALIASES, stopwords: Sequence[str] = CLUB_STOPWORDS) -> Column:
+    """A club's folded name with aliases put in and empty words left out; '' for a name of such words alone, null for null."""
+    words = F.filter(F.split(fold_name(c), " "), lambda w: w != "")
+    meant = F.transform(words, lambda w: F.coalesce(mapped(w, aliases), w))
+    return F.array_join(F.filter(meant, lambda w: ~w.isin(list(stopwords))), " ")
+
+
+def nationality(c: Column, codes: Mapping[str, str], countries: Sequence[str], aliases: Mapping[str, str] | None = None) -> Column:
+    """The canonical country of a code, a canonical name, an alias or another spelling, tried in that order; else null."""
+    t = F.trim(c)
+    tries = [mapped(t, codes), F.when(t.isin(list(countries)), t)]
+    if aliases:
+        tries.append(mapped(t, aliases))
+    return F.coalesce(*tries, mapped(fold_country(t), {fold_compact(x): x for x in countries}))
+
+
+def require_targets(codes: Mapping[str, str], countries: Sequence[str]) -> None:
+    """ValueError where a code leads to a country that is none of ``countries``."""
+    lost = sorted(set(codes.values()) - set(countries))
+    if lost:
+        raise ValueError(f"codes lead to unknown countries: {lost[:10]}")
+
+
+def matches_text(c: Column, pattern: str) -> Column:
+    """Whether a regular expression occurs in a text, whatever the case; null as False."""
+    return flag(c.rlike("(?i)" + pattern))
+
+
+def between_dates(c: Column, first: str, last: str) -> Column:
+    """Dates from first to last, both included; null as False."""
+    return flag(c.cast("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,12 +54,18 @@ def set_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def nearest_in_group(left: DataFrame, right: DataFrame, key: str, left_id: str, left_value: str, right_id: str, right_value: str, tolerance: float) -> DataFrame:
     """For each left row the right row of its key whose value lies nearest, within the tolerance; ties go to the lowest right id.
 
-    The best right row is kept by a combinable aggregate, so candidates are never sorted or collected.
+    Values fall into buckets as wide as the tolerance, so a key's rows meet only where they could match; the best right
+    row is kept by a combinable aggregate, so candidates are never sorted or collected. Null and NaN values match nothing.
     """
-    l, r = left.select(key, left_id, left_value), right.select(F.col(key).alias("_k"), right_id, right_value)
+    width = F.lit(float(tolerance) if tolerance > 0 else 1.0)
+    bucket = lambda c: F.floor(F.col(c).cast("double") / width).cast("long")
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    near = F.explode(F.sequence(bucket(left_value) - 1, bucket(left_value) + 1))
+    l = left.filter(known(left_value)).select(key, left_id, left_value, near.alias("_lb"))
+    r = right.filter(known(right_value)).select(F.col(key).alias("_k"), right_id, right_value, bucket(right_value).alias("_rb"))
     d = F.abs(F.col(left_value) - F.col(right_value))
-    near = l.join(r, F.col(key) == F.col("_k")).withColumn("_d", d).filter(F.col("_d") <= tolerance)
-    return near.groupBy(left_id).agg(F.min_by(F.struct(right_id, "_d"), F.struct("_d", right_id)).alias("b")).select(left_id, f"b.{right_id}", F.col("b._d").alias("distance"))
+    met = l.join(r, (F.col(key) == F.col("_k")) & (F.col("_lb") == F.col("_rb"))).withColumn("_d", d).filter(F.col("_d") <= tolerance)
+    return met.groupBy(left_id).agg(F.min_by(F.struct(right_id, "_d"), F.struct("_d", right_id)).alias("b")).select(left_id, f"b.{right_id}", F.col("b._d").alias("distance"))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, left_date: str, right_id: str, right_date: str, days: int) -> DataFrame:
@@ -74,3 +80,43 @@ def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, left
     gap = F.abs(F.datediff(F.col(right_date), F.col(left_date)))
     near = l.join(r, (F.col("_lk") == F.col(key)) & (F.col("_lb") == F.col("_rb"))).withColumn("_d", gap).filter(F.col("_d") <= days)
     return near.groupBy(left_id).agg(F.min_by(F.struct(right_id, "_d"), F.struct("_d", right_date, right_id)).alias("b")).select(left_id, f"b.{right_id}", F.col("b._d").cast("long").alias("days_apart"))
+
+
+def join_roles(df: DataFrame, dimension: DataFrame, key: str, roles: Mapping[str, str], columns: Sequence[str]) -> DataFrame:
+    """One dimension joined once for each role: role prefix -> the column of df that holds the role's key.
+
+    columns: <prefix><column> of the dimension, null where the key is null or unknown. The dimension's keys are unique.
+    """
+    for prefix, fk in roles.items():
+        side = dimension.select(F.col(key).alias("_dim_key"), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+        df = df.join(side, F.col(fk) == F.col("_dim_key"), "left").drop("_dim_key")
+    return df
+
+
+def flag_repeated(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """name: whether a row shares its keys with another; null keys are alike. Counted before the shuffle and joined back."""
+    counts = df.groupBy(*keys).agg((F.count(F.lit(1)) > 1).alias(name))
+    return left_join_nullsafe(df, counts, keys)
+
+
+def schema_aligned(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
+    """The columns of ``schema`` (name -> type) in its order, cast where they are there, null where they are not."""
+    have = set(df.columns)
+    return df.select(*[(F.col(f"`{c}`").try_cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in schema.items()])
+
+
+def keys_only_in(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct keys of a that b lacks; null keys match each other."""
+    return a.select(*keys).distinct().exceptAll(b.select(*keys).distinct())
+
+
+def cross_check(a: DataFrame, b: DataFrame, key: str, by: Sequence[str], stats: Sequence[str], least: int = 6) -> DataFrame:
+    """(by, stat, n, pearson, mae, mean_a, mean_b): the same stats of two sources, summed by key and matched by it.
+
+    Nulls count as nothing in the sums; correlation and error need ``least`` matched keys with both values.
+    """
+    side = lambda df, tag: df.groupBy(*by, key).agg(*[F.coalesce(F.sum(s), F.lit(0)).cast("double").alias(f"{tag}_{s}") for s in stats])
+    both = side(a, "a").join(side(b, "b"), [*by, key])
+    pairs = both.select(*by, F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(f"a_{s}").alias("a"), F.col(f"b_{s}").alias("b")) for s in stats])).alias("p")).select(*by, "p.*")
+    enough = F.count(F.lit(1)) >= least
+    return pairs.groupBy(*by, "stat").agg(F.count(F.lit(1)).alias("n"), F.when(enough, F.corr("a", "b")).alias("pearson"), F.when(enough, F.avg(F.abs(F.col("a") - F.col("b")))).alias("mae"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,13 +25,23 @@ def streak(df: DataFrame, entity: str, year: str, name: str = "consecutive") ->
     return island.withColumn(name, F.row_number().over(Window.partitionBy(entity, "_i").orderBy(year)).cast("long")).drop("_b", "_i")
 
 
+def group_zscores(df: DataFrame, scores: Mapping[str, str], groups: Sequence[str], least: int = 15, eps: float = 1e-6) -> DataFrame:
+    """<name>: (x - mean) / (sample deviation + eps) within a group for each name -> column of ``scores``; null in groups of
+    fewer than ``least`` values or with a null key.
+
+    Groups are summed before the shuffle and joined back, so a group of any size never lies in one task.
+    """
+    keys = [f"_g{i}" for i in range(len(groups))]
+    parts = [a for i, c in enumerate(scores.values()) for a in (F.count(c).alias(f"_n{i}"), F.avg(c).alias(f"_m{i}"), F.stddev_samp(c).alias(f"_s{i}"))]
+    stats = df.groupBy(*[F.col(g).alias(k) for g, k in zip(groups, keys)]).agg(*parts)
+    joined = df.join(stats, reduce(lambda a, b: a & b, [F.col(g) == F.col(k) for g, k in zip(groups, keys)]), "left")
+    new = {n: F.when(F.col(f"_n{i}") >= least, (F.col(c) - F.col(f"_m{i}")) / (F.col(f"_s{i}") + eps)) for i, (n, c) in enumerate(scores.items())}
+    return joined.withColumns(new).drop(*keys, *[f"_{x}{i}" for i in range(len(scores)) for x in "nms"])
+
+
 def group_zscore(df: DataFrame, column: str, groups: Sequence[str], name: str, least: int = 15, eps: float = 1e-6) -> DataFrame:
-    """(x - mean) / (sample deviation + eps) within a group; null in groups of fewer than ``least`` values or with a null key."""
-    w = Window.partitionBy(*groups)
-    known = F.count(column).over(w) >= least
-    for g in groups:
-        known = known & F.col(g).isNotNull()
-    return df.withColumn(name, F.when(known, (F.col(column) - F.avg(column).over(w)) / (F.stddev_samp(column).over(w) + eps)))
+    """``group_zscores`` of one column."""
+    return group_zscores(df, {name: column}, groups, least, eps)
 
 
 def consecutive_pairs(df: DataFrame, entity: str, year: str, targets: Sequence[str], valid: Column, same: Sequence[str] = ()) -> DataFrame:

@@ -7,12 +7,13 @@ module adds only what its inputs allow.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.scalars import completeness, flag, guarded_rate, mapped
-from touchline.operators.windows import group_zscore, lag_delta, streak
+from touchline.functions.scalars import clip_lower, completeness, extrapolated, flag, guarded_rate, mapped, next_period
+from touchline.operators.windows import group_zscores, lag_delta, streak
 
 #: Counting stats with a rate for 90 minutes, and stats with a history. Fixed values.
 PER_90_STATS = [
@@ -48,34 +49,42 @@ def per_90(df: DataFrame, stats: Sequence[str] = PER_90_STATS, minutes: str = "m
 
 
 def composites(df: DataFrame, least_shots: float = 0.5) -> DataFrame:
-    """Threat, creation and work rates from per-90 columns. Nulls carry over but for the optional assist bonus."""
-    new: dict[str, Column] = {}
-    bonus = [F.col(c) for c in ("xag_per_90", "understat_xa_per_90") if c in df.columns]
-    if _has(df, "xg_per_90", "shots_per_90"):
-        new["goal_threat"] = F.col("xg_per_90") + 0.1 * F.col("shots_per_90")
-    if _has(df, "assists_per_90"):
-        new["creative_threat"] = F.col("assists_per_90") + F.coalesce(*bonus, F.lit(0.0))
-    if _has(df, "tackles_won_per_90", "interceptions_per_90"):
-        new["defensive_actions"] = F.col("tackles_won_per_90") + F.col("interceptions_per_90")
-    if _has(df, "goals_per_90", "shots_per_90"):
-        new["shooting_efficiency"] = guarded_rate(F.col("goals_per_90"), F.col("shots_per_90"), least_shots, inclusive=True)
-    if _has(df, "goals_per_90", "assists_per_90"):
-        new["attacking_output"] = F.col("goals_per_90") + F.col("assists_per_90")
-    rates = [F.col(c) for c in df.columns if c.endswith("_per_90")]
-    if rates:
-        new["completeness"] = completeness(rates)
-    return df.withColumns(new) if new else df
+    """Threat, creation, work and output from per-90 columns, and the share of the five that a row has.
+
+    Nulls carry over, but expected assists are an optional part of the output. A column the frame lacks counts
+    as null.
+    """
+    rate = lambda s: F.col(f"{s}_per_90").cast("double") if f"{s}_per_90" in df.columns else F.lit(None).cast("double")
+    expected_assists = F.coalesce(rate("xag"), rate("understat_xa"))
+    new: dict[str, Column] = {
+        "goal_threat": rate("xg") + 0.5 * rate("shots"),
+        "creative_threat": expected_assists,
+        "defensive_actions": rate("tackles_won") + rate("interceptions"),
+        "shooting_efficiency": guarded_rate(rate("goals"), rate("shots"), least_shots, inclusive=True),
+        "attacking_output": rate("goals") + rate("assists") + 0.5 * F.coalesce(expected_assists, F.lit(0.0)),
+    }
+    return df.withColumns(new | {"composite_completeness": completeness(list(new.values()))})
 
 
 def z_scores(df: DataFrame, stats: Sequence[str] = Z_SCORE_STATS, period: str = "season", position: str = "primary_position", league: str = "league", least: int = 15) -> DataFrame:
-    """<stat>_z_position within (period, position) and <stat>_z_league within (period, league), of the stats present."""
-    for keys, suffix in (([period, position], "z_position"), ([period, league], "z_league")):  # one sort for each grouping
-        for s in stats:
-            if s in df.columns:
-                df = group_zscore(df, s, keys, f"{s}_{suffix}", least)
+    """<stat>_z_pos within (period, position) and <stat>_z_league within (period, league), of the stats present."""
+    have = [s for s in stats if s in df.columns]
+    for keys, suffix in (([period, position], "z_pos"), ([period, league], "z_league")):
+        df = group_zscores(df, {f"{s}_{suffix}": s for s in have}, keys, least)
     return df
 
 
+def thin_groups(df: DataFrame, stats: Sequence[str] = Z_SCORE_STATS, period: str = "season", position: str = "primary_position", league: str = "league", least: int = 15) -> DataFrame:
+    """(stat, grouping, n_groups): how many groups of each grouping know the stat, but in too few rows to score it."""
+    parts = []
+    have = [s for s in stats if s in df.columns]
+    for keys, name in (([period, position], "z_pos"), ([period, league], "z_league")):
+        counts = df.groupBy(*keys).agg(*[F.count(s).alias(s) for s in have])
+        thin = counts.agg(*[F.count(F.when((F.col(s) > 0) & (F.col(s) < least), 1)).alias(s) for s in have])
+        parts.append(thin.unpivot([], have, "stat", "n_groups").select("stat", F.lit(name).alias("grouping"), "n_groups"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def age_curve(df: DataFrame, age: str = "age_at_season_end", position: str = "primary_position", peaks: Mapping[str, int] = PEAK_AGE) -> DataFrame:
     """Powers of age, distance from the position's peak, and bands: young < 24, peak 24 to 29, declining > 29."""
     a = F.col(age)
@@ -108,22 +117,32 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str = "is
     return df.withColumns({f"{prefix}{v}": flag(F.col(column) == v) for v in values})
 
 
+#: Value of a year against the first, and growth a year beyond the table. Fixed values.
+YEAR_INFLATION = {2021: 1.000, 2022: 1.100, 2023: 1.254, 2024: 1.505}
+
+
+def multipliers(df: DataFrame, inflation: Mapping[int, float] = YEAR_INFLATION, leagues: Mapping[str, float] | None = None) -> DataFrame:
+    """Inflation of the season by table (null outside it), and the league's value multiplier where the frame has none yet."""
+    year = F.substring("season", 1, 4).try_cast("int")
+    new = {"year_inflation_multiplier": mapped(year, {k: float(v) for k, v in inflation.items()})}
+    if leagues is not None and "league_value_multiplier" not in df.columns:
+        new["league_value_multiplier"] = mapped(F.col("league"), {k: float(v) for k, v in leagues.items()})
+    return df.withColumns(new)
+
+
 def rating_gap(df: DataFrame) -> DataFrame:
-    """Potential over rating, and the rating's change; the lag must be there."""
+    """Potential over rating (null where the frame knows no potential), and the rating's change; the lag must be there."""
     if "fifa_rating_lag1" not in df.columns:
         raise ValueError("rating_gap needs fifa_rating_lag1: run history first")
-    new = {"delta_fifa_rating": F.col("fifa_rating") - F.col("fifa_rating_lag1")}
-    if "fifa_potential" in df.columns:
-        new["potential_gap"] = F.col("fifa_potential") - F.col("fifa_rating")
-    return df.withColumns(new)
+    potential = F.col("fifa_potential") if "fifa_potential" in df.columns else F.lit(None).cast("double")
+    return df.withColumns({"fifa_potential_gap": potential - F.col("fifa_rating"), "delta_fifa_rating": F.col("fifa_rating") - F.col("fifa_rating_lag1")})
 
 
-def build(df: DataFrame, z_stats: Sequence[str] = Z_SCORE_STATS) -> DataFrame:
-    """All modules in order, but for the multipliers, whose tables are parameters of other queries."""
-    df = composites(per_90(df))
-    df = z_scores(df, z_stats)
+def build(df: DataFrame, z_stats: Sequence[str] = Z_SCORE_STATS, leagues: Mapping[str, float] | None = None) -> DataFrame:
+    """All modules in their order: rates, composites, z-scores, age, contract, history, multipliers, flags, ratings."""
+    df = z_scores(composites(per_90(df)), z_stats)
     df = contract(age_curve(df)) if "contract_remaining_months" in df.columns else age_curve(df)
-    df = one_hot(history(df), "primary_position", POSITIONS)
+    df = one_hot(multipliers(history(df), leagues=leagues), "primary_position", POSITIONS)
     if "continent_group" in df.columns:
         df = one_hot(df, "continent_group", CONTINENTS, "is_continent_")
     return rating_gap(df) if "fifa_rating_lag1" in df.columns else df
@@ -136,8 +155,6 @@ def forward(df: DataFrame, projected: Mapping[str, str], position: str = "primar
     hangs on it, contracts run 12 months on, present values become lags, deltas are taken anew (0 for stats without
     projection), composites are recomputed, z-scores stay as they are.
     """
-    from touchline.functions.scalars import clip_lower, next_period
-
     have = set(df.columns)
     age = F.col("age_at_season_end") + 1
     new: dict[str, Column] = {"age_at_season_end": age}
@@ -158,7 +175,13 @@ def forward(df: DataFrame, projected: Mapping[str, str], position: str = "primar
     if "consecutive_seasons" in have:
         new["consecutive_seasons"] = F.coalesce("consecutive_seasons", F.lit(0)) + 1
     new["season"] = next_period(F.col("season"))
+    if "year_inflation_multiplier" in have:
+        new["year_inflation_multiplier"] = extrapolated(F.substring("season", 1, 4).try_cast("int") + 1, YEAR_INFLATION)
     kept = [c for c in df.columns if c not in projected.values()]
     moved = df.withColumns(new).select(*kept)
-    derived = [c for c in ("goal_threat", "creative_threat", "defensive_actions", "shooting_efficiency", "attacking_output", "completeness") if c in have]
-    return composites(moved.drop(*derived)) if derived else moved
+    return composites(moved) if "composite_completeness" in have else moved
+
+
+def fallback_notes(projected: Mapping[str, str]) -> Column:
+    """array<string> of notes on the stats whose projection is null, in their order."""
+    return F.array_compact(F.array(*[F.when(F.col(p).isNull(), F.lit(f"{s}: no projection, current value kept")) for s, p in projected.items()])) if projected else F.array().cast("array<string>")
