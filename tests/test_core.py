@@ -455,12 +455,38 @@ def test_fill_numeric_beats_the_mean_on_held_out_cells(spark):
 
 
 def test_fill_numeric_odd_tables(spark):
-    f = I.NumericField("y", low=0, high=10, refuted=F.col("z") > 5, eligible=F.col("e"), derived=F.col("d"), floor=1)
+    f = I.NumericField("y", low=0, high=10, refuted=F.col("z") > 5, eligible=F.col("e"), derived=F.col("d"))
     schema = "row_id int, g string, y double, z int, e boolean, d double, _y0 int"
     assert I.fill_numeric(spark.createDataFrame([], schema), [f], [["g"]]).count() == 0
     df = spark.createDataFrame([(1, None, None, None, True, None, 1), (2, "a", 4.0, 9, True, 2.5, 1), (3, "a", 99.0, None, None, None, 1), (4, "a", None, None, False, None, 1)], schema)
     got = {r["row_id"]: (r["y"], r["y__filled"]) for r in I.fill_numeric(df.drop("_y0"), [f], [["g"]]).collect()}
-    assert got == {1: (1.0, True), 2: (2.5, True), 3: (None, False), 4: (None, False)}
+    assert got == {1: (0.0, True), 2: (2.5, True), 3: (None, False), 4: (None, False)}
+
+
+def test_fill_numeric_takes_an_unknown_covariate_at_its_mean(spark):
+    rows = [(i, "g", float(20 + i % 15), 40.0 + 3 * (20 + i % 15)) for i in range(150)] + [(900, "g", None, None), (901, "g", float("nan"), None), (902, "g", 30.0, None)]
+    df = spark.createDataFrame(rows, "row_id int, g string, age double, y double")
+    got = {r["row_id"]: r["y"] for r in I.fill_numeric(df, [I.NumericField("y", 0, 500, {"age": F.col("age")})], [["g"]]).collect()}
+    assert math.isclose(got[900], 121.0, abs_tol=0.01) and math.isclose(got[901], 121.0, abs_tol=0.01) and math.isclose(got[902], 130.0, abs_tol=0.01)
+
+
+def test_fill_numeric_fits_crossed_effects_together(spark):
+    rng = np.random.default_rng(4)
+    group, time = rng.normal(0, 6, 30), rng.normal(0, 4, 8)
+    rows, truth = [], {}
+    for i in range(3000):
+        g = int(rng.integers(30))
+        t = int(min(7, max(0, round(g / 4 + rng.normal()))))  # groups live in their own times, so single fits confuse the two
+        y = 100 + group[g] + time[t] + rng.normal(0, 0.5)
+        hide = rng.random() < 0.15
+        truth[i] = (y, hide)
+        rows.append((i, g, t, None if hide else float(y)))
+    df = spark.createDataFrame(rows, "row_id int, g int, t int, y double")
+    error = {}
+    for sweeps in (1, 3):
+        got = {r["row_id"]: r["y"] for r in I.fill_numeric(df, [I.NumericField("y", 0, 500)], [["t"], ["g"]], sweeps).collect()}
+        error[sweeps] = math.sqrt(np.mean([(got[i] - y) ** 2 for i, (y, h) in truth.items() if h]))
+    assert error[3] < 0.8 and error[3] < error[1]
 
 
 def test_fill_category(spark):
@@ -471,6 +497,15 @@ def test_fill_category(spark):
     assert len(got) == len(rows)
     empty = I.fill_category(df.filter("false"), I.CategoryField("c", "full|basic", [["g"]]))
     assert empty.count() == 0
+    with pytest.raises(ValueError, match="more than 1"):
+        I.fill_category(df, I.CategoryField("c", "full|basic", [["g"]], most_classes=1))
+
+
+def test_fill_category_by_group_and_time(spark):
+    rows = [(i, g, t, c) for g, t, c, n in (("a", 1, "x", 8), ("a", 1, "y", 8), ("b", 2, "y", 60), ("b", 1, "x", 30), ("a", 2, "y", 6), ("a", 2, "x", 5)) for i in range(n)] + [(1, "a", 1, None), (2, "a", 2, None), (3, None, None, None), (4, "new", 1, "?")]
+    df = spark.createDataFrame(rows, "row_id int, g string, t int, c string")
+    got = [(r["g"], r["t"], r["c"]) for r in I.fill_category(df, I.CategoryField("c", "x|y", [["g"]], ["t"])).filter("c__filled").collect()]
+    assert sorted(got, key=str) == sorted([("a", 1, "x"), ("a", 2, "y"), (None, None, "y"), ("new", 1, "x")], key=str)
 
 
 def test_windowed_sums(spark):

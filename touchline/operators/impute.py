@@ -1,15 +1,17 @@
 """Filling missing values from like records by mixed-effects prediction, with a mask of what was filled.
 
-Numbers: y = fixed effects (least squares on covariates, from exact power sums) + one random effect for each
-grouping, each shrunk towards its parent by the variance ratio the data show (best linear unbiased prediction,
-fitted one grouping after the other). Categories: multinomial counts of a group, shrunk towards the counts of
-its parent grouping. Everything is fitted on all usable rows by aggregation; no row is collected.
+Numbers: y = fixed effects (least squares on covariates) + one random effect for each grouping, time among them,
+each shrunk towards zero by the variance ratio the data show (best linear unbiased prediction). All effects are
+fitted together by sweeps: each is fitted to what the others leave, until the last sweep. Categories: a multinomial
+model with main effects of group and time, P(c) of the overall shares times the shrunk ratio by which each of them
+changes it. Everything is fitted on all usable rows by aggregation; no row is collected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,7 +26,7 @@ class NumericField:
 
     low, high: what the value can be at all. refuted: condition under which the row's other columns rule the
     value out. eligible: rows in which the field can have a value. derived: what the row itself says the value
-    is, taken before any model. covariates: fixed effects; a null or NaN in one counts as 0.
+    is, taken before any model. covariates: fixed effects; a null or NaN in one counts as its mean.
     """
 
     column: str
@@ -34,18 +36,21 @@ class NumericField:
     refuted: Column | None = None
     eligible: Column | None = None
     derived: Column | None = None
-    floor: float | None = None
-    ceiling: float | None = None
 
 
 @dataclass(frozen=True)
 class CategoryField:
-    """A category to fill: the form of its values and the groups, coarse to fine, its counts are taken by."""
+    """A category to fill: the form of its values, the groups, coarse to fine, and the times its shares change by.
+
+    prior: rows that a parent's shares count for in a group. most_classes: a column of more classes is no category.
+    """
 
     column: str
     pattern: str
     groups: Sequence[Sequence[str]] = ()
+    times: Sequence[str] = ()
     prior: float = 5.0
+    most_classes: int = 200
 
 
 def usable_number(f: NumericField) -> Column:
@@ -124,76 +129,118 @@ def _shrunk_effects(df: DataFrame, residuals: Sequence[str], keys: Sequence[str]
     return groups.select(*[f"_k{i}" for i in range(len(keys))], *effects)
 
 
-def fill_numeric(df: DataFrame, fields: Sequence[NumericField], groups: Sequence[Sequence[str]]) -> DataFrame:
+def _with_effects(df: DataFrame, tables: dict[int, DataFrame], groups: Sequence[Sequence[str]]) -> DataFrame:
+    """df with the effects of every table of ``tables`` (grouping -> table) as _e<grouping>_<i>; null where a row is in none."""
+    for g, table in tables.items():
+        keys = [F.col(f"_k{i}").alias(f"_k{g}_{i}") for i in range(len(groups[g]))]
+        effects = [F.col(c).alias(f"_e{g}_{c[2:]}") for c in table.columns if c.startswith("_e")]
+        on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k{g}_{i}") for i, k in enumerate(groups[g])])
+        df = df.join(table.select(*keys, *effects), on, "left").drop(*[f"_k{g}_{i}" for i in range(len(groups[g]))])
+    return df
+
+
+def fill_numeric(df: DataFrame, fields: Sequence[NumericField], groups: Sequence[Sequence[str]], sweeps: int = 2) -> DataFrame:
     """``df`` with the fields filled and ``<field>__filled`` saying which cells were.
 
-    groups: groupings of the random effects, coarse to fine, time among them; rows with a null in a key get no
-    effect of that grouping. Rows keep their number. Cells that are not eligible keep their null. With no usable
-    value anywhere, or an empty table, nothing can be learnt: such cells get ``derived`` where given, else the
-    floor, and stay marked. Ties, repeated rows and other columns have no effect. Runs one small action for the
-    fixed effects and two for each grouping; what is kept between them is the group tables, never the rows.
+    groups: groupings of the random effects, time among them; rows with a null in a key get no effect of that
+    grouping. A prediction outside of what the value can be at all is put at its bound. Rows keep their number.
+    Cells that are not eligible keep their null. With no usable value anywhere, or an empty table, nothing can be
+    learnt: such cells get ``derived`` where given, else the value nearest 0 that can be, and stay marked. Ties,
+    repeated rows and other columns have no effect. Each sweep runs one small action for the fixed effects and two
+    for each grouping; what is kept between them is the group tables, never the rows.
     """
     work, targets = df, {}
     for t, f in enumerate(fields):
         names = [f"_x{t}_{i}" for i in range(len(f.covariates))]
-        columns = {n: F.coalesce(F.when(~F.isnan(c.cast("double")), c.cast("double")), F.lit(0.0)) for n, c in zip(names, f.covariates.values())}
-        usable = usable_number(f)
-        columns |= {f"_y{t}": F.when(usable, F.col(f"`{f.column}`").cast("double")), f"_m{t}": missing_mask(f)}
+        columns = {n: F.when(~F.isnan(c.cast("double")), c.cast("double")) for n, c in zip(names, f.covariates.values())}
+        columns |= {f"_y{t}": F.when(usable_number(f), F.col(f"`{f.column}`").cast("double")), f"_m{t}": missing_mask(f)}
         if f.derived is not None:
             columns[f"_d{t}"] = f.derived
         work = work.withColumns(columns)
         targets[f"_y{t}"] = names
-    beta = _fixed_effects(work, targets)
-    for y, names in targets.items():
-        predicted = F.lit(beta[y][0])
-        for name, b in zip(names, beta[y][1:]):
-            predicted = predicted + F.lit(b) * F.col(name)
-        work = work.withColumn(f"_p{y}", predicted)
-    for keys in groups:
-        resid = {f"_r{y}": F.col(y) - F.col(f"_p{y}") for y in targets}
-        table = _shrunk_effects(work.select(*{k: None for k in keys}, *[c.alias(n) for n, c in resid.items()]), list(resid), keys)
-        joined = work.join(table, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)], "left")
-        joined = joined.withColumns({f"_p{y}": F.col(f"_p{y}") + F.coalesce(F.col(f"_e{i}"), F.lit(0.0)) for i, y in enumerate(targets)})
-        work = joined.drop(*[f"_k{i}" for i in range(len(keys))], *[f"_e{i}" for i in range(len(targets))])
-    done, extra = {}, []
-    for t, (f, y) in enumerate(zip(fields, targets)):
-        p = F.greatest(F.col(f"_p{y}"), F.lit(float(f.low if f.floor is None else f.floor)))
-        p = F.least(p, F.lit(float(f.high if f.ceiling is None else f.ceiling)))
+    covariates = [n for names in targets.values() for n in names]
+    if covariates:
+        # where a covariate isn't known the row is predicted at its mean, which says nothing either way
+        means = work.agg(*[F.avg(F.when(F.col(y).isNotNull(), F.col(n))).alias(n) for y, names in targets.items() for n in names]).first()
+        work = work.withColumns({n: F.coalesce(F.col(n), F.lit(float(means[n] or 0.0))) for n in covariates})
+    ys = list(targets)
+    keys = list(dict.fromkeys(k for g in groups for k in g))
+    known = work.select(*keys, *ys, *covariates).filter(reduce(lambda a, b: a | b, [F.col(y).isNotNull() for y in ys]))
+    tables: dict[int, DataFrame] = {}
+    beta: dict[str, list[float]] = {}
+
+    def fixed(y: str) -> Column:
+        return reduce(lambda a, b: a + b, [F.lit(b) * F.col(n) for n, b in zip(targets[y], beta[y][1:])], F.lit(beta[y][0]))
+
+    def effects(i: int, of: Iterable[int]) -> Column:
+        return reduce(lambda a, b: a + b, [F.coalesce(F.col(f"_e{g}_{i}"), F.lit(0.0)) for g in of], F.lit(0.0))
+
+    for _ in range(sweeps):
+        rest = _with_effects(known, tables, groups).withColumns({f"_r{y}": F.col(y) - effects(i, tables) for i, y in enumerate(ys)})
+        fitted = _fixed_effects(rest, {f"_r{y}": names for y, names in targets.items()})
+        beta = {y: fitted[f"_r{y}"] for y in ys}
+        for g, by in enumerate(groups):
+            others = {h: table for h, table in tables.items() if h != g}
+            rest = _with_effects(known, others, groups).select(*by, *[(F.col(y) - fixed(y) - effects(i, others)).alias(f"_r{y}") for i, y in enumerate(ys)])
+            tables[g] = _shrunk_effects(rest, [f"_r{y}" for y in ys], by)
+    work = _with_effects(work, {g: t for g, t in tables.items()}, groups)
+    done, extra = {}, [f"_e{g}_{i}" for g in tables for i in range(len(ys))]
+    for t, (f, y) in enumerate(zip(fields, ys)):
+        p = F.least(F.greatest(fixed(y) + effects(t, tables), F.lit(float(f.low))), F.lit(float(f.high)))
         p = F.coalesce(F.col(f"_d{t}"), p) if f.derived is not None else p
         done |= {f.column: F.when(F.col(y).isNotNull(), F.col(y)).when(F.col(f"_m{t}"), p), mask_column(f.column): F.col(f"_m{t}")}
-        extra += [y, f"_p{y}", f"_m{t}", f"_d{t}", *targets[y]]
+        extra += [y, f"_m{t}", f"_d{t}", *targets[y]]
     return work.withColumns(done).drop(*extra)
 
 
 def fill_category(df: DataFrame, f: CategoryField) -> DataFrame:
-    """``df`` with the category filled by the most probable value of its group and a mask of the filled cells.
+    """``df`` with the category filled by the most probable value of its group and time, and a mask of the filled cells.
 
-    P(c | group) = (n_gc + prior * P(c | parent)) / (n_g + prior), from the overall shares down to the finest
-    group. Equal probabilities go to the first value in order. A value out of ``pattern`` counts as missing.
+    A group's share of a class is (count + prior * its parent's share) / (rows + prior), from the overall shares down to
+    the finest group; a time changes the odds by its own shrunk share against the overall one. A group or time that is
+    not known says nothing. Equal probabilities go to the first value in order. A value out of ``pattern`` counts as
+    missing. The classes are read once (``most_classes`` of them; ValueError beyond), the counts are one column for each,
+    so no group is paired with classes. With no usable value nothing is filled, but marked.
     """
     c = F.col(f"`{f.column}`")
     ok = F.coalesce(c.rlike(f"\\A(?:{f.pattern})\\z"), F.lit(False))
     work = df.withColumn(mask_column(f.column), ~ok).withColumn("_c", F.when(ok, c))
     known = work.filter(F.col("_c").isNotNull())
-    total = known.groupBy("_c").agg(F.count(F.lit(1)).alias("k"))
-    sum_all = total.agg(F.sum("k").alias("n"))
-    prob = total.crossJoin(sum_all).select("_c", (F.col("k") / F.col("n")).alias("p"))  # one row on the right
-    best = prob.agg(F.max_by("_c", F.struct("p", F.lit(0))).alias("_b0"))
-    work = work.crossJoin(best)  # one row
-    for i, keys in enumerate(f.groups, 1):
-        counts = known.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("k"))
-        sizes = counts.groupBy(*keys).agg(F.sum("k").alias("n"))
-        grid = sizes.join(prob, F.lit(True)) if i == 1 else sizes.join(prob, list(f.groups[i - 2]))
-        grid = grid.join(counts, [*keys, "_c"], "left")
-        fitted = grid.select(*keys, "_c", ((F.coalesce("k", F.lit(0)) + f.prior * F.col("p")) / (F.col("n") + f.prior)).alias("p"))
-        top = fitted.groupBy(*keys).agg(F.max_by("_c", F.struct("p", "_c")).alias(f"_b{i}"))
-        work = work.join(top, list(keys), "left")
-        prob = fitted
-    chosen = F.coalesce(*[F.col(f"_b{i}") for i in range(len(f.groups), -1, -1)])
-    return work.withColumn(f.column, F.coalesce(F.col("_c"), chosen)).drop("_c", *[f"_b{i}" for i in range(len(f.groups) + 1)])
+    totals = known.groupBy("_c").agg(F.count(F.lit(1)).alias("k")).limit(f.most_classes + 1).collect()
+    if len(totals) > f.most_classes:
+        raise ValueError(f"{f.column} has more than {f.most_classes} classes")
+    if not totals:
+        return work.withColumn(f.column, F.col("_c")).drop("_c")
+    classes = sorted(r["_c"] for r in totals)
+    n = sum(r["k"] for r in totals)
+    overall = {r["_c"]: r["k"] / n for r in totals}
+    shares: list[Column] = [F.lit(overall[x]) for x in classes]
+
+    def joined(frame: DataFrame, by: Sequence[str], tag: str) -> DataFrame:
+        counts = known.groupBy(*[F.col(k).alias(f"_{tag}k{i}") for i, k in enumerate(by)]).agg(F.count(F.lit(1)).alias(f"_{tag}n"), *[F.count(F.when(F.col("_c") == x, 1)).alias(f"_{tag}c{j}") for j, x in enumerate(classes)])
+        on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{tag}k{i}") for i, k in enumerate(by)])
+        return frame.join(counts, on, "left")
+
+    def shrunk(tag: str, parents: Sequence[Column]) -> list[Column]:
+        rows = F.coalesce(F.col(f"_{tag}n"), F.lit(0))
+        return [(F.coalesce(F.col(f"_{tag}c{j}"), F.lit(0)) + f.prior * p) / (rows + f.prior) for j, p in enumerate(parents)]
+
+    tags = []
+    for i, by in enumerate(f.groups):
+        work, shares = joined(work, by, f"g{i}"), shrunk(f"g{i}", shares)
+        tags.append((f"g{i}", len(by)))
+    base = [F.lit(overall[x]) for x in classes]
+    for i, time in enumerate(f.times):
+        work = joined(work, [time], f"t{i}")
+        shares = [s * r / b for s, r, b in zip(shares, shrunk(f"t{i}", base), base)]
+        tags.append((f"t{i}", 1))
+    # the first of equal ones: classes are in order, so the greatest (probability, place from the end) wins
+    best = F.greatest(*[F.struct(s.alias("p"), F.lit(-j).alias("j"), F.lit(x).alias("c")) for j, (s, x) in enumerate(zip(shares, classes))]) if len(classes) > 1 else F.struct(F.lit(classes[0]).alias("c"))
+    spare = [x for tag, k in tags for x in (f"_{tag}n", *[f"_{tag}k{i}" for i in range(k)], *[f"_{tag}c{j}" for j in range(len(classes))])]
+    return work.withColumn(f.column, F.coalesce(F.col("_c"), best["c"])).drop("_c", *spare)
 
 
 def filled_cells(filled: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """(key, field_name) of every cell the masks mark."""
-    marks = F.array_compact(F.array(*[F.when(F.col(mask_column(c)), F.lit(c)) for c in fields]))
+    """(key, field_name) of every cell that the masks mark and the model gave a value."""
+    marks = F.array_compact(F.array(*[F.when(F.col(mask_column(c)) & F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in fields]))
     return filled.select(key, F.explode(marks).alias("field_name"))

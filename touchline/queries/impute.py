@@ -24,7 +24,6 @@ def rating_field() -> I.NumericField:
         low=20,
         high=99,
         covariates={"log_minutes": F.log1p(F.when(_number("minutes_played").between(0, 3800), _number("minutes_played"))), "log_value": F.log1p(F.when(_number("market_value_eur") > 0, _number("market_value_eur"))), "no_value": F.when(_number("market_value_eur") > 0, 0.0).otherwise(1.0), "age": _number("age_at_season_end"), "age2": _number("age_at_season_end") * _number("age_at_season_end")},
-        floor=40,
     )
 
 
@@ -38,7 +37,6 @@ def xg_field() -> I.NumericField:
         covariates={"shots": shots, "goals": goals, "minutes": F.when(_number("minutes_played").between(0, 3800), _number("minutes_played"))},
         refuted=((xg == 0) & ((shots >= 3) | (goals >= 1))) | (xg > F.greatest(shots, goals)),
         eligible=F.col("_league_has_xg"),
-        floor=0,
     )
 
 
@@ -53,8 +51,6 @@ def contract_field() -> I.NumericField:
         covariates={"age": _number("age_at_season_end"), "age2": _number("age_at_season_end") * _number("age_at_season_end")},
         refuted=F.abs(_number("contract_remaining_months") - derived) > 0.5,
         derived=derived,
-        floor=0,
-        ceiling=72,
     )
 
 
@@ -74,13 +70,13 @@ def filled_panel(spark: SparkSession, sf_dir: str, fields: list[str] = FIELDS) -
 
 def p2_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filled panel: numbers by mixed effects, data_richness by shrunk multinomial counts, with masks."""
-    df = I.fill_category(filled_panel(spark, sf_dir), I.CategoryField("data_richness", pattern="full|synthetic_basic", groups=[["resolve_method"], ["resolve_method", "record_source"]]))
+    df = I.fill_category(filled_panel(spark, sf_dir), I.CategoryField("data_richness", pattern="full|synthetic_basic", groups=[["resolve_method"], ["resolve_method", "record_source"]], times=["season"]))
     names = [*FIELDS, "data_richness"]
     return df.select("row_id", "player_id", "season", *[F.round(c, 6).alias(c) for c in FIELDS], "data_richness", *[I.mask_column(c) for c in names])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells without a value that can be true of their record, read off the masks of the filled panel."""
+    """Cells without a value that can be true of their record, as the model filled and marked them."""
     return I.filled_cells(filled_panel(spark, sf_dir), "row_id", FIELDS)
 
 
