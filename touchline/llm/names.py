@@ -84,24 +84,33 @@ def _years(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set(F.coalesce(F.col("years"), F.array().cast("array<int>"))))).alias("years"))
 
 
-def link_names(left: DataFrame, right: DataFrame, left_key: str, right_key: str, reach: Reach = EVERYONE) -> DataFrame:
-    """Candidate pairs with name evidence; ``reach`` says how common a rewriting may be.
+def candidate_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, reach: Reach = EVERYONE) -> DataFrame:
+    """(left_key, right_key, rarity, owners, shared): keys of which two spellings share a rewriting within ``reach``.
 
     left and right have their key, ``name`` and ``years`` (array<int> of possible years of birth, may be null);
     a key may have several rows, one for each spelling. Null and blank names have no rewriting and no pair.
-    columns: left_key, right_key, rarity, owners, shared, left_name, right_name, given, family, whole: of the spellings
-    of the pair those that agree best. Empty sides give no rows; repeated rows and ties change nothing.
     """
     ls = left.select(left_key, "name", "years").distinct()
     rs = right.select(right_key, "name", "years").distinct()
     lf = cut(exploded_forms(ls, left_key, "name", "years", rotate=True))
     rf = cut(exploded_forms(rs, right_key, "name", "years", rotate=False))
     n_right = rs.agg(F.count_distinct(right_key)).first()[0]
-    pairs = rewriting_pairs(lf, rf, _years(ls, left_key), _years(rs, right_key), left_key, right_key, n_right, reach)
-    ln = ls.select(left_key, F.col("name").alias("left_name")).distinct()
-    rn = rs.select(right_key, F.col("name").alias("right_name")).distinct()
+    return rewriting_pairs(lf, rf, _years(ls, left_key), _years(rs, right_key), left_key, right_key, n_right, reach)
+
+
+def with_spellings(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """``pairs`` with left_name, right_name, given, family, whole: of the spellings of the pair those that agree best."""
+    ln = left.select(left_key, F.col("name").alias("left_name")).distinct()
+    rn = right.select(right_key, F.col("name").alias("right_name")).distinct()
+    rest = [c for c in pairs.columns if c not in (left_key, right_key)]
     spelled = pairs.join(ln.hint("merge"), left_key).join(rn.hint("merge"), right_key)
     spelled = spelled.withColumn("c", N.compare_columns(F.col("left_name"), F.col("right_name")))
     total = F.greatest(F.col("c.given"), F.lit(0.3)) + F.col("c.family") + F.col("c.whole")
     best = F.max_by(F.struct("left_name", "right_name", "c"), F.struct(total, "left_name", "right_name")).alias("b")
-    return spelled.groupBy(left_key, right_key).agg(F.max("rarity").alias("rarity"), F.min("owners").alias("owners"), F.max("shared").alias("shared"), best).select(left_key, right_key, "rarity", "owners", "shared", "b.left_name", "b.right_name", "b.c.*")
+    return spelled.groupBy(left_key, right_key, *rest).agg(best).select(left_key, right_key, *rest, "b.left_name", "b.right_name", "b.c.*")
+
+
+def link_names(left: DataFrame, right: DataFrame, left_key: str, right_key: str, reach: Reach = EVERYONE) -> DataFrame:
+    """``candidate_pairs`` with ``with_spellings``: left_key, right_key, rarity, owners, shared, left_name, right_name, given,
+    family, whole. Empty sides give no rows; repeated rows and ties change nothing."""
+    return with_spellings(candidate_pairs(left, right, left_key, right_key, reach), left, right, left_key, right_key)
