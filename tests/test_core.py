@@ -416,6 +416,29 @@ def test_findings_of_a_load_with_only_new_values(spark):
         assert {(r["load_id"], r["column_name"]) for r in quality.findings(counts, RULES).filter("finding = 'distinct'").collect()} == {(7, "t")}
 
 
+def test_findings_of_a_change_of_spread_alone(spark):
+    rng = np.random.default_rng(6)
+    rows = [(load, float(round(x, 2))) for load in range(20) for x in rng.normal(100, 25 if load == 13 else 5, 400)]
+    rules = [quality.ColumnRule("x")]
+    df = spark.createDataFrame(rows, "load_id long, x double")
+    got = {(r["load_id"], r["finding"]) for r in quality.findings(quality.value_counts(df, "t", "load_id", rules), rules).collect()}
+    assert got == {(13, "distribution")}
+
+
+def test_profile_by_sums_equals_profile_by_values(spark):
+    big = 10**9
+    df = spark.createDataFrame([(1, big + 1, "a"), (1, big + 3, "B"), (1, None, None), (2, big + 7, "a"), (None, 5, "a"), (1, big + 3, "c")], "load_id long, x long, s string")
+    rules = [quality.ColumnRule("x", low=0, high=2.0 * big, origin=float(big)), quality.ColumnRule("s", pattern="[a-z]")]
+    keys = ["load_id", "column_name", "n", "nulls", "pattern_violations", "range_violations", "distinct_values", "low", "high", "p0", "p1", "p2", "p3", "p4", "mean", "stddev"]
+    a = sorted(map(str, quality.profile(df, "t", "load_id", rules).select(*keys).collect()))
+    counts = quality.value_counts(df, "t", "load_id", rules)
+    assert a == sorted(map(str, quality.profile_from_counts(counts, rules).select(*keys).collect()))
+    halves = [quality.value_counts(df.filter(c), "t", "load_id", rules) for c in ("s = 'a'", "s is null or s <> 'a'")]
+    assert a == sorted(map(str, quality.profile_from_counts(quality.merge_counts(halves), rules).select(*keys).collect()))
+    one_load = [r for r in quality.profile(df, "t", "load_id", rules).collect() if r["load_id"] == 1 and r["column_name"] == "x"][0]
+    assert (one_load["p1"], one_load["p2"], one_load["mean"]) == (7.0, 19.0, big + 7 / 3)
+
+
 def test_profiles_merge_and_odd_tables(spark):
     df = _loads(spark, loads=3)
     a, b = df.filter("n % 2 = 0"), df.filter("n % 2 = 1")
