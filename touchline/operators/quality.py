@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+from touchline.plans.lineage import cut
+
 
 @dataclass(frozen=True)
 class ColumnRule:
@@ -204,12 +206,14 @@ class Thresholds:
 def findings(counts: DataFrame, rules: Sequence[ColumnRule], t: Thresholds = Thresholds()) -> DataFrame:
     """(table_name, load_id, column_name, finding) for loads unlike their neighbours.
 
-    Works on per-load tables only: their size is loads x columns (x known values for categories), never rows.
+    counts: ``value_counts`` of one or more tables; column names must tell their rules apart. Works on per-load tables
+    only (the counts and the profile are written once): their size is loads x columns (x known values for categories), never rows.
     Ordinary is the median over the ``local`` loads before and after, so slow growth is no finding. Ties,
     repeated rows and extra columns have no effect; a null load id is a load of its own; a single load has
     nothing to be compared with and can only show range and pattern violations.
     """
-    profile = profile_from_counts(counts, rules)
+    counts = cut(counts)  # read for every test; the loads' tables are scanned once
+    profile = cut(profile_from_counts(counts, rules))
     by = Window.partitionBy("table_name", "column_name").orderBy(F.col("load_id").asc_nulls_first())
     near = by.rowsBetween(-t.local, t.local)
     med = lambda c: _middle(F.expr(c), near)

@@ -15,9 +15,8 @@ PANEL_RULES = [Q.ColumnRule("data_richness", pattern="[a-z]+(_[a-z]+)*")]
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads whose row_count, file_exists or data_richness is plainly unlike the ordinary loads."""
-    parts = [("fbref_coverage_summary", COVERAGE_RULES), ("unified_panel", PANEL_RULES)]
-    found = [Q.findings(Q.value_counts(table(spark, sf_dir, name), name, "load_id", rules), rules) for name, rules in parts]
-    return found[0].unionByName(found[1])
+    parts = [Q.value_counts(table(spark, sf_dir, name), name, "load_id", rules) for name, rules in (("fbref_coverage_summary", COVERAGE_RULES), ("unified_panel", PANEL_RULES))]
+    return Q.findings(parts[0].unionByName(parts[1]), [*COVERAGE_RULES, *PANEL_RULES])
 
 
 def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
