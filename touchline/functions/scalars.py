@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clean_number(c: Column) -> Column:
@@ -18,6 +19,11 @@ def clean_number(c: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+def plain_number(kind: T.DataType) -> bool:
+    """Whether a type is a number's (flags are none)."""
+    return isinstance(kind, T.NumericType)
+
+
 def guarded_rate(num: Column, den: Column, least: float = 0.0, inclusive: bool = False) -> Column:
     """num / den where den is over ``least`` (or reaches it), else null."""
     ok = den >= least if inclusive else den > least

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.stats import pearson
+
 
 def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df``, failing at run time where a key occurs twice (null keys count as equal)."""
@@ -119,4 +121,4 @@ def cross_check(a: DataFrame, b: DataFrame, key: str, by: Sequence[str], stats:
     both = side(a, "a").join(side(b, "b"), [*by, key])
     pairs = both.select(*by, F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(f"a_{s}").alias("a"), F.col(f"b_{s}").alias("b")) for s in stats])).alias("p")).select(*by, "p.*")
     enough = F.count(F.lit(1)) >= least
-    return pairs.groupBy(*by, "stat").agg(F.count(F.lit(1)).alias("n"), F.when(enough, F.corr("a", "b")).alias("pearson"), F.when(enough, F.avg(F.abs(F.col("a") - F.col("b")))).alias("mae"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
+    return pairs.groupBy(*by, "stat").agg(F.count(F.lit(1)).alias("n"), F.when(enough, pearson("a", "b")).alias("pearson"), F.when(enough, F.avg(F.abs(F.col("a") - F.col("b")))).alias("mae"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))

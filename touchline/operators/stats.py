@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation of complete pairs as an aggregate; null where a side does not vary."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
 def moments(df: DataFrame, column: str) -> DataFrame:
     """n, mean, sample deviation, population skewness and excess kurtosis."""
     return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.skewness(column).alias("skew"), F.kurtosis(column).alias("kurt"))

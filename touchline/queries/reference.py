@@ -341,7 +341,7 @@ def skew_kurtosis(spark: SparkSession, d: str) -> DataFrame:
 @query("select l_returnflag, count(*) as n, round(corr(l_quantity, l_extendedprice), 6) as pearson from lineitem group by all")
 def correlation(spark: SparkSession, d: str) -> DataFrame:
     """Pearson correlation by group."""
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r(F.corr("l_quantity", "l_extendedprice")).alias("pearson"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r(stats.pearson("l_quantity", "l_extendedprice")).alias("pearson"))
 
 
 def _residuals(spark: SparkSession, d: str) -> DataFrame:
@@ -442,32 +442,12 @@ def forward_features(spark: SparkSession, d: str) -> DataFrame:
     return f.select("player_id", "season", "row_id", r("age_at_season_end", 4).alias("age_at_season_end"), "is_peak", r("contract_remaining_months", 4).alias("contract_remaining_months"), "is_expiring")
 
 
-@query(
-    """with t as (select p_partkey, case p_partkey % 5 when 0 then '€' || printf('%.2f', p_retailprice) || 'm' when 1 then 'loan fee: €' || printf('%.1f', p_retailprice) || 'k' when 2 then 'free transfer' when 3 then '€' || cast(p_partkey as varchar) || 'Th' else '-' end as text from part)
-    select p_partkey, case p_partkey % 5 when 0 then round(cast(printf('%.2f', p_retailprice) as double) * 1e6, 2) when 3 then round(p_partkey * 1e3, 2) end as amount, case p_partkey % 5 when 0 then 'fee' when 1 then 'loan' when 2 then 'free' when 3 then 'fee' else 'undisclosed' end as kind from
-    (select p.p_partkey, p.p_retailprice from part p)"""
-)
-def fee_text_parser(spark: SparkSession, d: str) -> DataFrame:
-    """Amount and kind of fees written as text."""
-    k, p = F.pmod("p_partkey", F.lit(5)), table(spark, d, "part")
-    text = F.when(k == 0, F.concat(F.lit("€"), F.format_string("%.2f", "p_retailprice"), F.lit("m"))).when(k == 1, F.concat(F.lit("loan fee: €"), F.format_string("%.1f", "p_retailprice"), F.lit("k"))).when(k == 2, "free transfer").when(k == 3, F.concat(F.lit("€"), F.col("p_partkey").cast("string"), F.lit("Th"))).otherwise("-")
-    amount, kind = X.fee_parts(F.col("text"))
-    return p.withColumn("text", text).select("p_partkey", r(amount, 2).alias("amount"), kind.alias("kind"))
-
-
 @query("select record_source, resolve_method, count(*) as n, round(avg(case when resolve_method <> 'synthetic' then 1.0 else 0 end), 6) as resolved_rate from unified_panel group by all")
 def resolution_rates(spark: SparkSession, d: str) -> DataFrame:
     """How records of each source were resolved."""
     return table(spark, d, "unified_panel").groupBy("record_source", "resolve_method").agg(F.count(F.lit(1)).alias("n"), r(F.avg((F.col("resolve_method") != "synthetic").cast("double"))).alias("resolved_rate"))
 
 
-@query()
-def name_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Folded names and their initials (Python folding; fixtures in the tests)."""
-    p = table(spark, d, "tm_players").select("tm_player_id", X.fold_name(F.col("player_name")).alias("folded"))
-    return p.withColumn("initials", X.initials(F.col("folded")))
-
-
 @query()
 def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Panel names against the player master by the cascade of tiers (fixtures in the tests)."""

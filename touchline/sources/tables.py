@@ -23,3 +23,9 @@ def save_parquet(df: DataFrame, path: str | PurePath, partition_by: list[str] |
     """Overwrite ``path``, parents included; partitioned by columns where asked."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(str(path))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
