@@ -81,8 +81,10 @@ def predict_one(df: DataFrame, player_id: str, season: str, *models: object, **s
     """``predict_batch`` of one player and season: one row, or an error at run time where there is none (the first of several)."""
     rows = df.filter((F.col("player_id") == player_id) & (F.col("season") == season)).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).limit(1)
     out = predict_batch(rows, *models, **settings)
-    count = out.agg(F.count(F.lit(1)).alias("_n")).select(F.when(F.col("_n") == 0, F.raise_error(F.lit(f"no row of {player_id} in {season}")).cast("long")).otherwise(F.col("_n")).alias("_n"))
-    return count.join(out, F.lit(True), "left").drop("_n")  # one row on both sides
+    count = out.agg(F.count(F.lit(1)).alias("_n"))
+    found = count.join(out, F.lit(True), "left")  # one row on both sides
+    missing = F.raise_error(F.lit(f"no row of {player_id} in {season}")).cast("string")
+    return found.withColumn("player_id", F.when(F.col("_n") == 0, missing).otherwise(F.col("player_id"))).drop("_n")
 
 
 def residual_quantiles(scored: DataFrame, actual: Column, predicted: Column, by: str = "position", least: int = 10) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.windows import consecutive_pairs
+from touchline.plans.lineage import cut
 from touchline.plans.models import fold_of, guard_leakage, known_features, numeric_features
 
 #: Stats that are projected a season on, by position. Fixed values.
@@ -144,7 +145,7 @@ class Mlp:
         return Mlp(**state | {"weights": [np.array(a) for a in state["weights"]], "offsets": [np.array(a) for a in state["offsets"]], "label": tuple(state["label"])})
 
 
-def fit_mlp(train: DataFrame, features: Sequence[str], label: str, key: str, hidden: Sequence[int] = (64,), alpha: float = 0.001, most_rows: int = 20_000, epochs: int = 200, seed: int = 7) -> Mlp:
+def fit_mlp(train: DataFrame, features: Sequence[str], label: str, key: str, hidden: Sequence[int] = (64,), alpha: float = 0.001, most_rows: int = 20_000, epochs: int = 500, seed: int = 7) -> Mlp:
     """A network fitted by Adam on at most ``most_rows`` rows, a hash of the key deciding which, stopping early on a tenth of them.
 
     The bound holds for any table: the sample is what reaches the driver.
@@ -165,11 +166,12 @@ def fit_mlp(train: DataFrame, features: Sequence[str], label: str, key: str, hid
     held = np.arange(len(x)) % 10 == 0
     fit_x, fit_t, own = x[~held], t[~held], np.arange((~held).sum())
     moments = [[np.zeros_like(p) for p in (*net.weights, *net.offsets)] for _ in range(2)]
+    size = max(16, min(200, len(own) // 20))  # few rows are learnt in small steps
     best, kept, wait, step = np.inf, None, 0, 0
     for _ in range(epochs):
         rng.shuffle(own)
-        for i in range(0, len(own), 200):
-            part = own[i : i + 200]
+        for i in range(0, len(own), size):
+            part = own[i : i + size]
             layers = net.run(fit_x[part])
             delta, grads_w, grads_b = 2 * (layers[-1] - fit_t[part, None]) / len(part), [], []
             for k in range(len(net.weights) - 1, -1, -1):
@@ -276,6 +278,7 @@ def train_slots(spark: SparkSession, data: DataFrame, slots: Sequence[tuple[str,
     model. features: (position, target) -> what it was trained on.
     """
     rows, models, used = [], {}, {}
+    data = cut(data)  # every fit reads it again
     for position, target, label, baseline in slots:
         if label not in data.columns:
             continue
@@ -318,8 +321,9 @@ def importance(model: object, features: Sequence[str], scored_on: DataFrame | No
     return sorted(zip(features, values), key=lambda kv: (-kv[1], kv[0]))[:top]
 
 
-def shuffled(df: DataFrame, column: str, seed: int, blocks: int = 64) -> DataFrame:
-    """df with the values of a column dealt out anew within blocks by hash, each in a task of its own."""
+def shuffled(df: DataFrame, column: str, seed: int, block_rows: int = 1000) -> DataFrame:
+    """df with the values of a column dealt out anew within blocks by hash, of some ``block_rows`` rows each (counts the rows once)."""
+    blocks = df.count() // block_rows + 1
     h = F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.lit(seed))
     keyed = df.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(blocks)))
     a = keyed.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_h")))

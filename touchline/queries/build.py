@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from touchline.functions import scalars as X
 from touchline.operators import joins, panel, resolve
 from touchline.plans import explore, features, inference, panel_build, training
+from touchline.plans.lineage import cut
 from touchline.queries.reference import nudged, r
 from touchline.sources import loaders
 from touchline.sources.tables import table
@@ -511,8 +512,7 @@ _LIGHT = training.Learners(ridge_grid=training.RIDGE_GRID[:1], tree_grid=[{"dept
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
     f = latest(spark, d).withColumns({"log_market_value": F.log1p("market_value_eur"), "meets_min_minutes": F.coalesce("minutes_played", F.lit(0)) >= 450, "player_name": F.col("player_name_fbref")})
-    f = features.build(f.drop("row_id", "born", "load_id", "resolve_score"), ["goals_per_90", "shots_per_90", "minutes_played"])
-    return f
+    return cut(features.build(f.drop("row_id", "born", "load_id", "resolve_score"), ["goals_per_90", "shots_per_90", "minutes_played"]))
 
 
 @query()
