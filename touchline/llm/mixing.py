@@ -111,6 +111,10 @@ def plan(patterns: dict[tuple[str, ...], float], targets: Sequence[Target]) -> t
     return total, flows
 
 
+#: Rows up to which the table of patterns, 2 to the number of sources at most, is sent to every executor.
+MOST_BROADCAST = 10_000
+
+
 def mix(texts: DataFrame, targets: DataFrame, seed: int = 42, rounds: int = 3) -> DataFrame:
     """(doc_id, source, use, tokens): the texts of the mix, use 1, 2, ... of each.
 
@@ -118,7 +122,7 @@ def mix(texts: DataFrame, targets: DataFrame, seed: int = 42, rounds: int = 3) -
     Equal texts are one text, known by their lowest doc_id and standing under all their sources. Sources without
     target, null sources and null or zero sizes contribute nothing; a target whose source has no text stays at
     0. A text that would overrun its source's quota is passed over, and ``rounds`` more draws fill what is then
-    missing with unused texts that fit, so shares end within a short text of the plan. Empty tables give no rows.
+    missing with texts that fit and may be used (again), so shares end within a short text of the plan. Empty tables give no rows.
     The driver sees the pattern table and sums of fixed-width hash buckets, never texts.
     """
     goals = [Target(r["source"], float(r["target_share"]), int(r["max_repeats"])) for r in targets.filter("source is not null and target_share is not null and max_repeats is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).collect()]
@@ -140,7 +144,7 @@ def mix(texts: DataFrame, targets: DataFrame, seed: int = 42, rounds: int = 3) -
     by_pattern = taken.groupBy("pattern").agg(F.collect_list(F.struct("use", "source", "a", "b")).alias("stretches"))  # uses x sources of a pattern
     start, end = F.col("position"), F.col("position") + F.col("tokens")
     within = F.filter("stretches", lambda x: (start >= x["a"] - 0.5) & (end <= x["b"] + 0.5))
-    drawn = placed.join(F.broadcast(by_pattern), "pattern").select("doc_id", "tokens", F.explode(within).alias("s"))  # at most 2 ^ sources rows
+    drawn = placed.join(F.broadcast(by_pattern) if len(totals) <= MOST_BROADCAST else by_pattern, "pattern").select("doc_id", "tokens", F.explode(within).alias("s"))
     out = cut(drawn.select("doc_id", "s.source", "s.use", "tokens"))
     quota: dict[str, float] = {}
     for _, _, source, amount in flows:
@@ -150,19 +154,21 @@ def mix(texts: DataFrame, targets: DataFrame, seed: int = 42, rounds: int = 3) -
         short = {s: q - got.get(s, 0.0) for s, q in quota.items() if q - got.get(s, 0.0) >= 1}
         if not short:
             break
-        out = cut(out.unionByName(_top_up(one, out, short)))
+        out = cut(out.unionByName(_top_up(one, out, short, {g.source: g.repeats for g in goals})))
     return out
 
 
-def _top_up(one: DataFrame, used: DataFrame, short: dict[str, float]) -> DataFrame:
-    """First uses of texts not drawn yet, each for one of its sources that lack tokens, as far as they fit in drawn order."""
+def _top_up(one: DataFrame, used: DataFrame, short: dict[str, float], repeats: dict[str, int]) -> DataFrame:
+    """Another use of texts, each for one of its sources that lack tokens and allow it, as far as they fit in drawn order."""
     lack = F.create_map(*[x for s, v in short.items() for x in (F.lit(s), F.lit(v))])
-    open_ = one.join(used.select("doc_id").distinct(), "doc_id", "left_anti")
-    mine = F.filter("pattern", lambda s: s.isin(list(short)))
+    allowed = F.create_map(*[x for s in short for x in (F.lit(s), F.lit(repeats[s]))])
+    uses = used.groupBy(F.col("doc_id").alias("_d")).agg(F.max("use").alias("_u"))
+    open_ = one.join(uses, F.col("doc_id") == F.col("_d"), "left").withColumn("use", F.coalesce(F.col("_u"), F.lit(0)) + 1)
+    mine = F.filter("pattern", lambda s: s.isin(list(short)) & (F.try_element_at(allowed, s) >= F.col("use")))
     open_ = open_.withColumn("_s", F.when(F.size(mine) > 0, F.get(mine, F.pmod(F.col("draw"), F.size(mine)).cast("int"))))
     fits = open_.filter(F.col("_s").isNotNull()).filter(F.col("tokens") <= lack[F.col("_s")])
     placed = _positions(fits.withColumn("pattern", F.array("_s")))
-    return placed.filter(F.col("position") + F.col("tokens") <= lack[F.col("_s")]).select("doc_id", F.col("_s").alias("source"), F.lit(1).alias("use"), "tokens")
+    return placed.filter(F.col("position") + F.col("tokens") <= lack[F.col("_s")]).select("doc_id", F.col("_s").alias("source"), "use", "tokens")
 
 
 def _positions(one: DataFrame) -> DataFrame:
