@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scalars as X
 from touchline.operators import joins, panel, resolve
+from touchline.operators.windows import top_k
 from touchline.plans import explore, features, inference, panel_build, training
 from touchline.plans.lineage import cut
 from touchline.queries.reference import nudged, r
@@ -620,3 +621,22 @@ def value_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Shape of values and of their logs."""
     v = explore.value_distribution(table(spark, d, "lineitem"), "l_extendedprice")
     return v.select("n", r("median", 4).alias("median"), *[r(c, 5).alias(c) for c in ("skew_raw", "kurtosis_raw", "skew_log", "kurtosis_log")])
+
+
+@query("select row_id, player_id, resolve_score from unified_panel where resolve_method = 'fuzzy' and resolve_score is not null order by resolve_score, row_id limit 30")
+def lowest_fuzzy_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The thirty fuzzy matches of lowest score, to be looked at."""
+    p = table(spark, d, "unified_panel").filter("resolve_method = 'fuzzy' and resolve_score is not null")
+    return top_k(p.select("row_id", "player_id", "resolve_score"), F.col("resolve_score"), "row_id", 30)
+
+
+@query(
+    """with a as (select regexp_replace(lower(player_name_fbref), '[^a-z ]', ' ', 'g') as k, goals from unified_panel where season = '2022-23' and regexp_full_match(player_name_fbref, '[A-Za-z ]+')), b as (select regexp_replace(lower(player_name_fbref), '[^a-z ]', ' ', 'g') as k, goals from unified_panel where season = '2023-24' and regexp_full_match(player_name_fbref, '[A-Za-z ]+')),
+    x as (select trim(k) as k, sum(coalesce(goals, 0))::double as g from a group by all), y as (select trim(k) as k, sum(coalesce(goals, 0))::double as g from b group by all)
+    select 'goals' as stat, count(*) as n, round(corr(x.g, y.g), 6) as pearson, round(avg(abs(x.g - y.g)), 6) as mae, round(avg(x.g), 6) as mean_a, round(avg(y.g), 6) as mean_b from x join y using (k)"""
+)
+def cross_check_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Two sources matched by the plainer fold of names (plain names only, which SQL folds alike)."""
+    p = table(spark, d, "unified_panel").filter(F.col("player_name_fbref").rlike("^[A-Za-z ]+$")).withColumn("k", X.fold_name_ascii(F.col("player_name_fbref")))
+    out = joins.cross_check(p.filter("season = '2022-23'"), p.filter("season = '2023-24'"), "k", [], ["goals"])
+    return out.select("stat", "n", *[r(c).alias(c) for c in ("pearson", "mae", "mean_a", "mean_b")])

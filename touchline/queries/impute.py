@@ -80,5 +80,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.filled_cells(filled_panel(spark, sf_dir), "row_id", FIELDS)
 
 
+P2_SQL = """
+with xl as (select distinct league from fbref_coverage_summary where source = 'understat' and row_count > 0 and league is not null),
+q as (select p.*, greatest(date_diff('day', cast(season_end_date as date), cast(contract_end_date as date)) / 30.44, 0) as months, xl.league is not null as has_xg from unified_panel p left join xl on p.league = xl.league)
+select row_id, 'fifa_rating' as field_name from q where not coalesce(not isnan(fifa_rating) and fifa_rating between 20 and 99, false)
+union all select row_id, 'xg' from q where has_xg and not coalesce(not isnan(xg) and xg between 0 and 80 and not coalesce(xg = 0 and (shots >= 3 or goals >= 1), false) and not coalesce(xg > greatest(shots, goals), false), false)
+union all select row_id, 'contract_remaining_months' from q where not coalesce(not isnan(contract_remaining_months) and contract_remaining_months between 0 and 120
+  and not coalesce(contract_end_date is not null and season_end_date is not null and abs(contract_remaining_months - months) > 0.5, false), false)
+"""
+
 QUERIES = {"p2_found": p2_found, "p2_fill": p2_fill}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p2_found": P2_SQL}
