@@ -14,7 +14,7 @@ from touchline.functions import scalars as X
 from touchline.functions.similarity import edits, indel_ratio, lcs_length, token_set_ratio
 from touchline.operators import impute as I
 from touchline.operators import joins, panel, quality, resolve, stats, windows
-from touchline.plans import features, models
+from touchline.plans import features, inference, models
 from touchline.queries import reference
 from touchline.sources import text_formats as TF
 
@@ -329,6 +329,27 @@ def test_resolver_query_reads_every_form_of_date_and_country(spark, tmp_path):
     assert one(spark.range(1).select(X.year_of(F.lit("born 12345")).alias("y"), X.folded(F.lit("İÎ-ğ 1")).alias("f"))) == {"y": None, "f": "iig"}
 
 
+def test_exact_median_against_sparks_own(spark):
+    nan, inf = float("nan"), float("inf")
+    for values in ([], [None], [3.0], [1.0, 2.0], [5.0, None, 1.0, 2.0], [0.0] * 50 + [1.0] * 50, [-inf, nan, 1.0], [nan, nan, 1.0], [2.0**k for k in range(-500, 500)], [float(k * k % 1009) for k in range(4001)]):
+        df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+        want = df.agg(F.median("x")).first()[0]
+        for margin, accuracy in ((1e-3, 10_000), (1e-9, 2), (0.5, 10)):  # bounds that may miss the middle, and such as hold everything
+            got = stats.exact_median(df, F.col("x"), margin, accuracy)
+            assert got == want or (want != want and got != got), (values[:5], margin)
+
+
+def test_medians_of_errors_are_not_held_in_one_place(spark):
+    df = spark.range(1, 6).select(F.col("id").cast("double").alias("y"), F.lit(2.0).alias("p"))
+    money = inference.money_errors(df, F.log1p("y"), F.log1p("p"))
+    assert round(money.first()["median_ae_eur"], 9) == 1.0
+    for out in (money,):
+        plan = out._jdf.queryExecution().toString().lower()
+        assert "median(" not in plan and "percentile(" not in plan
+    none = df.filter("y < 0")
+    assert inference.money_errors(none, F.col("y"), F.col("p")).first()["n"] == 0
+
+
 # -- sources ---------------------------------------------------------------------------------------------------
 
 

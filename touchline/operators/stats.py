@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,32 @@ def quantile_table(df: DataFrame, value: str, by: Sequence[str], probabilities:
     return out.select(*by, "n", *[F.get("_q", i).alias(f"q{round(p * 100):02d}") for i, p in enumerate(probabilities)])
 
 
+def exact_median(df: DataFrame, value: Column, margin: float = 1e-3, accuracy: int = 10_000) -> float | None:
+    """The median of a column, interpolated, as ``F.median`` has it; null values don't count, None where there are no others.
+
+    ``F.median`` holds every distinct value in one place. Here sketched quantiles on both sides of the middle give bounds,
+    and a second pass counts the rows below them and each value between them; what one task orders is about two
+    ``margin`` of the rows. Where the bounds miss the middle they are widened, up to the lowest and highest values.
+    """
+    x = df.select(value.cast("double").alias("v")).filter("v is not null")
+    while True:
+        low, high = max(0.5 - margin, 0.0), min(0.5 + margin, 1.0)
+        n, bounds = x.agg(F.count("v"), F.percentile_approx("v", [low, high], accuracy)).first()
+        if not n:
+            return None
+        below, upto = F.col("v") < F.lit(bounds[0]), F.col("v") <= F.lit(bounds[1])
+        if low == 0.0:  # the lowest and highest values of a sketch are exact, but nothing hangs on it here
+            below, upto = F.lit(False), F.lit(True)
+        counts = x.filter(upto).groupBy(below.alias("below"), F.when(~below, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        first, last = (n - 1) // 2, n // 2
+        upper = F.sum("c").over(Window.orderBy(F.col("below").desc(), "v"))
+        middle = counts.withColumn("_to", upper).filter((F.col("_to") > first) & (F.col("_to") - F.col("c") <= last)).orderBy("_to").collect()
+        if middle and not middle[0]["below"] and middle[0]["_to"] - middle[0]["c"] <= first and middle[-1]["_to"] > last:
+            a, b = middle[0]["v"], middle[-1]["v"]
+            return a if first == last or a == b else 0.5 * a + 0.5 * b
+        margin *= 8
+
+
 def regression_metrics(df: DataFrame, actual: Column, predicted: Column, by: Sequence[str] = (), masked: float = 0.1) -> DataFrame:
     """n, mae, rmse, r2 and mape (over |actual| above ``masked``) on complete pairs, in one pass of sums."""
     pairs = df.select(*by, actual.cast("double").alias("y"), predicted.cast("double").alias("p")).filter("y is not null and p is not null")
