@@ -341,13 +341,15 @@ def test_exact_median_against_sparks_own(spark):
 
 def test_medians_of_errors_are_not_held_in_one_place(spark):
     df = spark.range(1, 6).select(F.col("id").cast("double").alias("y"), F.lit(2.0).alias("p"))
+    scenario = stats.scenario_metrics(df, F.col("y"), F.col("p"))
+    assert scenario.first()["median_ratio"] == 2 / 3
     money = inference.money_errors(df, F.log1p("y"), F.log1p("p"))
     assert round(money.first()["median_ae_eur"], 9) == 1.0
-    for out in (money,):
+    for out in (scenario, money):
         plan = out._jdf.queryExecution().toString().lower()
         assert "median(" not in plan and "percentile(" not in plan
     none = df.filter("y < 0")
-    assert inference.money_errors(none, F.col("y"), F.col("p")).first()["n"] == 0
+    assert stats.scenario_metrics(none, F.col("y"), F.col("p")).first()["median_ratio"] is None and inference.money_errors(none, F.col("y"), F.col("p")).first()["n"] == 0
 
 
 # -- sources ---------------------------------------------------------------------------------------------------

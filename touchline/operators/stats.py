@@ -88,7 +88,8 @@ def scenario_metrics(df: DataFrame, actual: Column, predicted: Column, within: f
     pairs = df.select(actual.cast("double").alias("y"), predicted.cast("double").alias("p")).filter("y > 0 and p > 0")
     d = F.log1p("y") - F.log1p("p")
     n = F.count(F.lit(1))
-    return pairs.agg(n.alias("n"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"), (1 - F.sum(d * d) / (F.var_pop(F.log1p("y")) * n)).alias("r2_log"), F.median(F.col("p") / F.col("y")).alias("median_ratio"), F.avg((F.abs(F.col("p") / F.col("y") - 1) <= within).cast("double")).alias("share_within"))
+    ratio = F.lit(exact_median(pairs, F.col("p") / F.col("y"))).cast("double")
+    return pairs.agg(n.alias("n"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"), (1 - F.sum(d * d) / (F.var_pop(F.log1p("y")) * n)).alias("r2_log"), ratio.alias("median_ratio"), F.avg((F.abs(F.col("p") / F.col("y") - 1) <= within).cast("double")).alias("share_within"))
 
 
 def interval_coverage(df: DataFrame, value: Column, low: Column, high: Column, by: Sequence[str] = ()) -> DataFrame:
