@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,38 @@ def test_name_index_finds_every_pair_over_the_threshold():
     assert len(hits) > 400 and all(keys[a] & keys[b] for a, b in hits)
 
 
+def test_only_names_that_may_be_alike_are_compared(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    given = ["anna", "anna maria", "jo", "jon", "jonathan", "li", "aaaa aaaa", "bob bobby bobbo", "x1", "maria del mar"]
+    family = ["smith", "smithe", "van der berg", "berg", "zuzuzuzuzu", "lopez lopez", "o", "quintana rivera", "smyth jones", "77"]
+    family += ["".join(rng.choice("bdfgklprtv") + rng.choice("aeiou") for _ in range(4)) for _ in range(25)]
+    names = sorted({" ".join(f"{g} {f}".replace(rng.choice("abimn"), rng.choice("aen"), rng.randint(0, 1)).split()) for g in given for f in family for _ in range(2)})
+    counts = Counter(p for n in names for p in resolve.letter_pairs(n))
+    want = {(a, b): token_set_ratio(a, b) for a in names for b in names if token_set_ratio(a, b) >= 85.0}
+    compared = spark.sparkContext.accumulator(0)
+
+    def counted(a, b):
+        @F.pandas_udf("double")
+        def run(x: pd.Series, y: pd.Series) -> pd.Series:
+            compared.add(len(x))
+            return pd.Series([token_set_ratio(p, q) for p, q in zip(x, y)], dtype="float64")
+
+        return run.asNondeterministic()(a, b)
+
+    monkeypatch.setattr(resolve, "similarity", counted)
+    df = spark.createDataFrame([("b", n) for n in names], "block string, n string")
+    met = df.select("block", "n"), df.select("block", F.col("n").alias("m_n"))
+    got = {(r["n"], r["m_n"]): r["s"] for r in resolve.alike_pairs(*met, counts, 85.0).collect()}
+    assert got == want and len(want) > 300
+    keys = {n: set(resolve.index_keys(n, counts, 85.0)) for n in names}
+    meet = sum(bool(keys[a] & keys[b]) for a in names for b in names)
+    assert compared.value < 0.5 * meet
+    assert resolve.letter_bits("b aaaab") == (7, resolve.letter_bits("b aaaab")[1], resolve.letter_bits("b aaaab")[2], 1)
+
+
 def test_clubs_and_nationalities(spark):
     df = spark.createDataFrame([("Manchester Utd", "Manchester United FC"), ("Wolves", "Wolverhampton"), ("FC", "AFC"), ("Real Sporting", "Real Sportng"), ("Red", "Blue"), (None, "Red")], "a string, b string")
     got = [r[0] for r in df.select(resolve.clubs_match(X.club_key(F.col("a")), X.club_key(F.col("b")))).collect()]

@@ -23,13 +23,13 @@ from touchline.plans.lineage import cut
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Token-set ratio, 0 to 100, of two folded texts."""
+    """Token-set ratio, 0 to 100, of two folded texts, where the plan has it: Spark moves no filter on it below an aggregation."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else token_set_ratio(p, q) for p, q in zip(x, y)], dtype="float64")
 
-    return run(a, b)
+    return run.asNondeterministic()(a, b)
 
 
 def clubs_match(a: Column, b: Column, least: float = 90.0) -> Column:
@@ -80,14 +80,60 @@ def index_keys(name: str, counts: Mapping[str, int], least: float) -> list[str]:
     return keys + [f"p {p}" for p in kept]
 
 
+#: Places of letters in ``letter_bits``; a folded name has no others.
+_PLACES = {ch: k for k, ch in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}
+
+
+def letter_bits(name: str) -> tuple[int, int, int, int]:
+    """(size, low, high, over): letters of the sorted tokens; a bit for the first, second and third of each letter, and how many have none."""
+    text, bits, over = " ".join(sorted(set(name.split()))), 0, 0
+    for ch, n in Counter(text).items():
+        place = _PLACES.get(ch)
+        kept = min(n, 3) if place is not None else 0
+        for k in range(kept):
+            bits |= 1 << (k * len(_PLACES) + place)
+        over += n - kept
+    return len(text), bits & (1 << 62) - 1, bits >> 62, over
+
+
+def letters_shared_at_most(a: Column, b: Column) -> Column:
+    """Letters that two names of ``letter_bits`` have in common, or a few more: no common subsequence is longer."""
+    both = lambda c: F.bit_count(a[c].bitwiseAND(b[c]))
+    return both("low") + both("high") + F.least(a["over"], b["over"])
+
+
 def _index_column(name: Column, counts: Mapping[str, int], least: float) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(names: pd.Series) -> pd.Series:
-        return pd.Series([index_keys(n, counts, least) for n in names], dtype=object)
+    """struct<keys, bits>: ``index_keys`` and ``letter_bits`` of a name."""
+
+    @F.pandas_udf("keys array<string>, size int, low bigint, high bigint, over int")
+    def run(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(index_keys(n, counts, least), *letter_bits(n)) for n in names], columns=["keys", "size", "low", "high", "over"])
 
     return run(name)
 
 
+def alike_pairs(asked: DataFrame, offered: DataFrame, counts: Mapping[str, int], least: float) -> DataFrame:
+    """(block, n, m_n, s): pairs of names of a block with their token-set ratio, where it reaches ``least``.
+
+    asked: block, n. offered: block, m_n; no row twice. A ratio is twice the letters in common over the letters of both
+    sides; or, of the shared tokens against one side, twice theirs over theirs and that side's. Counts bound the
+    first, and a pair meets once for each shared token, so that the second is known before a text is compared.
+    """
+    x = lambda df, name, to: df.withColumn(to, _index_column(F.col(name), counts, least)).select("block", name, F.explode(F.col(to)["keys"]).alias("k"), F.col(to).dropFields("keys").alias(to))
+    a, b = F.col("_a"), F.col("_b")
+    shared, fewer = letters_shared_at_most(a, b), F.least(a["size"], b["size"])
+    token = F.col("k").startswith("t ")
+    # a hair under the threshold, for the sake of rounding; the ratio itself decides
+    alike = 200.0 * shared >= least * (a["size"] + b["size"]) - 1e-6
+    within = lambda common: 200.0 * common >= least * (common + fewer) - 1e-6
+    met = x(asked, "n", "_a").join(x(offered, "m_n", "_b"), ["block", "k"]).filter(alike | (token & within(shared)))
+    pairs = met.groupBy("block", "n", "m_n").agg(F.max(alike).alias("alike"), F.max(fewer).alias("fewer"), F.sum(F.when(token, F.length("k") - 1)).alias("common"))
+    # the shared tokens with a blank before each but the first
+    common = F.coalesce(F.col("common"), F.lit(1)) - 1
+    pairs = pairs.filter(F.col("alike") | (200.0 * common >= least * (common + F.col("fewer")) - 1e-6))
+    return pairs.select("block", "n", "m_n", similarity(F.col("n"), F.col("m_n")).alias("s")).filter(F.col("s") >= least)
+
+
 def _pair_counts(names: DataFrame) -> dict[str, int]:
     """Names that have each letter pair; names are letters, digits and blanks, so there are some 1,400 pairs and their copies."""
 
@@ -193,9 +239,7 @@ def resolve(rows: DataFrame, master: DataFrame, overrides: DataFrame | None = No
     # names alike: pairs of distinct names through the index, the best one of each, then its entries
     counts = _pair_counts(pool.select("m_n").distinct())
     asked, offered = left_open.select("block", "n").distinct(), pool.select("block", "m_n").distinct()
-    asked = asked.select("block", "n", F.explode(_index_column(F.col("n"), counts, least)).alias("k"))
-    offered = offered.select("block", "m_n", F.explode(_index_column(F.col("m_n"), counts, least)).alias("k"))
-    met = asked.join(offered, ["block", "k"]).select("block", "n", "m_n").distinct().withColumn("s", similarity(F.col("n"), F.col("m_n"))).filter(F.col("s") >= least)
+    met = alike_pairs(asked, offered, counts, least)
     best = met.groupBy("block", "n").agg(F.min_by(F.struct("m_n", "s"), F.struct((-F.col("s")).alias("s"), F.col("m_n").alias("m"))).alias("b")).select("block", "n", "b.m_n", "b.s")
     namesakes = cut(left_open.join(best, ["block", "n"]).join(pool.withColumnRenamed("block", "m_block"), (F.col("block") == F.col("m_block")) & (best["m_n"] == pool["m_n"])).select("q", "nation", "club_key", "m_id", "m_club", "s").withColumn("club", club))
     alike = _chosen(namesakes, label, F.lit("fuzzy_team"), F.col("s"), 5)
