@@ -87,6 +87,18 @@ def test_reach_only_leaves_out_pairs_it_says(spark):
         assert ((l, r) in some) == (owners <= max(bound, 8)), (l, r, owners, a, b)
 
 
+def test_namesakes_of_other_years_are_candidates_however_many(spark, tmp_path):
+    from touchline.llm import linkage_queries
+
+    master = [(k, "Jon Berg", f"{1960 + k % 40}-05-01", "Wadi Amr", "Attack", "Red Rovers" if k == 7 else f"Blue {k}") for k in range(150)]
+    spark.createDataFrame(master, "tm_player_id long, player_name string, date_of_birth string, country_of_citizenship string, position_name string, current_club_name string").write.parquet(f"{tmp_path}/tm_players.parquet")
+    spark.createDataFrame([("WAD", "Wadi Amr")], "code string, country string").write.parquet(f"{tmp_path}/nationality_map.parquet")
+    rows = [("synthetic_a", "Jon Berg", 2010, "WAD", "FWD", "Red Rovers"), ("5", "Jon Berg", 1965, "WAD", "FWD", "Blue 5")]
+    spark.createDataFrame(rows, "player_id string, player_name_fbref string, born int, nation string, primary_position string, club string").write.parquet(f"{tmp_path}/unified_panel.parquet")
+    got = {r["tm_player_id"]: (r["player_id"], r["owners"], r["same_club"]) for r in linkage_queries.candidates(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(150)) and got[7] == ("synthetic_a", 150, 1.0)
+
+
 # -- survivorship ----------------------------------------------------------------------------------------------
 
 SCHEMA = "row_id long, e string, p string, club string, minutes int, whole boolean, src string, load int, at timestamp, trust_rank int"
