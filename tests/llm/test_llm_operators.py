@@ -99,6 +99,33 @@ def test_namesakes_of_other_years_are_candidates_however_many(spark, tmp_path):
     assert set(got) == set(range(150)) and got[7] == ("synthetic_a", 150, 1.0)
 
 
+def test_comparison_against_every_order_with_few_whole_names_compared(monkeypatch):
+    def every_order(x, y):
+        best = (0.0, 0.0, 0.0)
+        for k in range(len(x) if y else 0):
+            o = x[k:] + x[:k]
+            whole = N._near("".join(o), "".join(y))
+            if len(o) == 1 or len(y) == 1:
+                one, many = (o[0], y) if len(o) == 1 else (y[0], o)
+                cand = (1.0, 1.0, whole) if whole > 0.9 else (-1.0, max(N._near(one, t) for t in (many[1:] or many)), whole)
+            else:
+                cand = (N._given(o[0], y[0]), max(N._near(a, b) for a in o[1:] for b in y[1:]), whole)
+                cand = (max(cand[0], whole), max(cand[1], whole), whole) if whole > 0.9 else cand
+            if max(cand[0], 0.3) + cand[1] + cand[2] > max(best[0], 0.3) + best[1] + best[2]:
+                best = cand
+        return best
+
+    rng = random.Random(3)
+    tokens = ["".join(rng.choice("abo") for _ in range(rng.randint(1, 6))) for _ in range(14)] + ["martin", "martina", "berg", "bob", "robert"]
+    pairs = [([rng.choice(tokens) for _ in range(rng.randint(0, 4))], [rng.choice(tokens) for _ in range(rng.randint(0, 4))]) for _ in range(3000)]
+    assert [N.compare(x, y) for x, y in pairs] == [every_order(x, y) for x, y in pairs]
+    told = []
+    near = N.edits
+    monkeypatch.setattr(N, "edits", lambda a, b, most=99: told.append((a, b)) or near(a, b, most))
+    N.compare(["martin", "lindholm", "akerstrom"], ["martin", "lindholm", "akerstrand"])
+    assert sum(len(a) > 12 for a, _ in told) == 1
+
+
 # -- survivorship ----------------------------------------------------------------------------------------------
 
 SCHEMA = "row_id long, e string, p string, club string, minutes int, whole boolean, src string, load int, at timestamp, trust_rank int"
